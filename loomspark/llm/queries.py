@@ -14,13 +14,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM d),
-g AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS at, words FROM d WHERE len(words) >= 50),
-k AS (SELECT doc_id, at, sha256(array_to_string(words[at:at + 49], ' ')) AS gram FROM g),
-m AS (SELECT doc_id, at, doc_id > min(doc_id) OVER (PARTITION BY gram) AS gone FROM k),
-c AS (SELECT w.doc_id, w.word, w.at, coalesce(bool_or(m.gone) OVER (PARTITION BY w.doc_id ORDER BY w.at ROWS 49 PRECEDING), false) AS gone
-      FROM w LEFT JOIN m ON m.doc_id = w.doc_id AND m.at = w.at),
-s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY at) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS pos, words FROM d WHERE len(words) >= 50),
+k AS (SELECT doc_id, pos, sha256(array_to_string(words[pos:pos + 49], ' ')) AS gram FROM g),
+m AS (SELECT doc_id, pos, doc_id > min(doc_id) OVER (PARTITION BY gram) AS gone FROM k),
+c AS (SELECT w.doc_id, w.word, w.pos, coalesce(bool_or(m.gone) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS 49 PRECEDING), false) AS gone
+      FROM w LEFT JOIN m ON m.doc_id = w.doc_id AND m.pos = w.pos),
+s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(s.n_removed, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
 """
