@@ -123,7 +123,7 @@ def _merge(size: int):
     return run
 
 
-def repeated_intervals(docs: DataFrame, size: int = 50, bucket_bytes: int = 8 << 20, block_bytes: int = 8 << 20) -> DataFrame:
+def repeated_intervals(docs: DataFrame, size: int = 50, bucket_bytes: int = 6 << 20, block_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, h, starts, ends): maximal runs of words to remove; ``h`` is ``xxhash64(text)``.
 
     ``bucket_bytes``: about as many bytes of text meet in one bucket, so a
