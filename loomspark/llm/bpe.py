@@ -15,17 +15,21 @@ each; other columns are left alone; texts have any length.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterable
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks
+from .common import chunks, mix
 
 NEVER = np.iinfo(np.int64).max
+#: Pieces with more symbols are merged one by one, by a heap.
+LONG = 100
 #: White space of Python that the tokenizer takes for symbols.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 UNICODE_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -36,7 +40,7 @@ class UnitCache:
     met before and returns their ids and the end of each; at most ``room`` units
     are remembered, beyond that all are forgotten and encoded anew."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], room: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], room: int = 600_000):
         self.encode_new, self.room = encode, room
         self.clear()
 
@@ -78,10 +82,9 @@ class Codec:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.suffix: str = model["end_of_word_suffix"] or ""
+        self.suffix: str = model["end_of_word_suffix"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.longest = max(len(k.removesuffix(self.suffix)) for k in self.vocab)
         n = max(*self.vocab.values(), *self.special.values()) + 1
         self.tokens = np.full(n, "", object)
         for k, v in (self.vocab | self.special).items():
@@ -92,9 +95,35 @@ class Codec:
         self.rank = np.full(n, -1, np.int64)
         self.left, self.right = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.rank[made], self.left[made], self.right[made] = np.arange(len(made)), a, b
-        self.merge = {(x, y): (r, z) for r, (x, y, z) in enumerate(zip(a.tolist(), b.tolist(), made.tolist(), strict=True))}
-        order = np.argsort(a << 32 | b)
-        self.keys, self.key_rank = (a << 32 | b)[order], order
+        self.made = made
+        pair = a << 32 | b
+        self.merge = {(x, y): r for r, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True))}
+        self.slots = 1 << 20  # an open hash table of the merges
+        slot = self._slot(pair)
+        self.key, self.key_rank = np.full(self.slots, -1, np.int64), np.full(self.slots, NEVER)
+        self.probes = 0
+        left = np.arange(len(pair))
+        while len(left):
+            at = (slot[left] + self.probes) % self.slots
+            put = left[np.unique(at, return_index=True)[1]]
+            put = put[self.key[(slot[put] + self.probes) % self.slots] < 0]
+            at = (slot[put] + self.probes) % self.slots
+            self.key[at], self.key_rank[at] = pair[put], put
+            left = np.setdiff1d(left, put)
+            self.probes += 1
+        self.inner, self.final = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        for k, v in self.vocab.items():
+            if len(k) == 1:
+                self.inner[ord(k)] = v
+            elif len(k) == 1 + len(self.suffix) and k.endswith(self.suffix):
+                self.final[ord(k[0])] = v
+        self.automaton = ahocorasick.Automaton()
+        self.length = np.zeros(n, np.int64)
+        for k, v in self.vocab.items():
+            word = k.removesuffix(self.suffix) + " " if k.endswith(self.suffix) else k
+            self.automaton.add_word(word, v)
+            self.length[v] = len(word)
+        self.automaton.make_automaton()
         self.sound = np.ones(n, bool)  # tokens that come out of their own symbols
         ok = self.compatible(a, b, np.arange(len(made)))
         for x, y, z, good in zip(a.tolist(), b.tolist(), made.tolist(), ok.tolist(), strict=True):
@@ -102,9 +131,21 @@ class Codec:
         if len(set(made.tolist())) < len(made):  # a token with two derivations: nothing is verified, all is merged
             self.sound[:] = False
         self.cache = UnitCache(self._units)
-        self.ascii_piece = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+        self.ascii_piece = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+| ")
         self.digits = np.array([str(i) for i in range(n)], object)
 
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return (mix(pair.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair; NEVER where there is none."""
+        pair = a << 32 | b
+        slot, out = self._slot(pair), np.full(len(pair), NEVER)
+        for i in range(self.probes):
+            at = (slot + i) % self.slots
+            out = np.where(self.key[at] == pair, self.key_rank[at], out)
+        return out
+
     def compatible(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | int = NEVER) -> np.ndarray:
         """Whether no merge over the border of tokens a and b has its turn, among the merges below rank ``before``."""
         ok = np.ones(len(a), bool)
@@ -112,9 +153,7 @@ class Codec:
         x, y = a.astype(np.int64), b.astype(np.int64)
         limit = np.broadcast_to(np.asarray(before, np.int64), len(a)).copy()
         while len(live):
-            key = x << 32 | y
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = (self.keys[at] == key) & (self.key_rank[at] < limit)
+            hit = self.ranks(x, y) < limit
             ok[live[hit]] = False
             rx, ry = self.rank[x], self.rank[y]
             go = ~hit & ((rx >= 0) | (ry >= 0))
@@ -124,81 +163,136 @@ class Codec:
             x, y = np.where(on_left, self.right[x], x), np.where(on_left, y, self.left[y])
         return ok
 
-    def propose(self, piece: str) -> list[int]:
-        """Greedy longest match."""
-        out, vocab, n, i = [], self.vocab, len(piece), 0
-        last = piece + self.suffix
-        while i < n:
-            if n - i <= self.longest and (k := vocab.get(last[i:])) is not None:
-                out.append(k)
-                break
-            for j in range(min(n - 1, i + self.longest), i, -1):
-                if (k := vocab.get(piece[i:j])) is not None:
-                    out.append(k)
-                    i = j
-                    break
-            else:
-                raise ValueError(f"no token for {piece[i]!r}")
-        return out
-
-    def merged(self, piece: str) -> list[int]:
-        """Exact merging: the pair of least rank, leftmost first, until none is left."""
-        part = [self.vocab[c] for c in piece[:-1]] + [self.vocab[piece[-1] + self.suffix]]
-        while len(part) > 1:
-            best = min((self.merge.get(p, (NEVER, 0)) for p in zip(part, part[1:], strict=False)), default=(NEVER, 0))
-            if best[0] == NEVER:
-                break
-            pair, out, i = None, [], 0
-            while i < len(part):
-                if i + 1 < len(part) and self.merge.get((part[i], part[i + 1]), (NEVER, 0))[0] == best[0] and pair in (None, best[0]):
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(part[i])
-                    i += 1
-            part = out
-        return part
-
-    def pieces(self, unit: str) -> list[str]:
-        """Normalised pieces of a unit without special tokens, in the byte alphabet."""
-        if unit.isascii() and unit.isprintable():
-            low = unit.lower()
-            return [low] if low.isalpha() else self.ascii_piece.findall(low)
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(unit))]
-
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        found = [self.propose(p) for p in pieces]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for f in found for x in f), np.int64, int(size.sum()))
-        own = np.repeat(np.arange(len(found)), size)
-        bad = np.zeros(len(found), bool)
+    def propose(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest match over all pieces: tokens, the piece of each, and which pieces are covered whole."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1  # a blank ends each piece and stands for the suffix
+        found = np.array([x for m in self.automaton.iter_long(" ".join(pieces) + " ") for x in m], np.int64).reshape(-1, 2)
+        own = np.searchsorted(np.cumsum(size), found[:, 0], "right")
+        whole = np.bincount(own, self.length[found[:, 1]], len(pieces)) == size
+        return found[:, 1], own, whole
+
+    def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging, of all pieces side by side: in each the pair of least rank, leftmost
+        first, until none is left. Returns tokens and the piece of each, in order."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        chars = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        own = np.repeat(np.arange(len(pieces)), size)
+        part = self.inner[chars]
+        last = np.cumsum(size) - 1
+        part[last] = self.final[chars[last]]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(part):
+            rank = np.full(len(part), NEVER)
+            pair = np.flatnonzero(own[1:] == own[:-1])
+            rank[pair] = self.ranks(part[pair], part[pair + 1])
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(own)]))
+            live = least != NEVER
+            done.append((part[~live], own[~live]))
+            at = np.flatnonzero((rank == least) & live)
+            at = at[np.r_[True, own[at][1:] != own[at][:-1]]] if len(at) else at
+            part[at] = self.made[rank[at]]
+            live[at + 1] = False
+            part, own = part[live], own[live]
+        tokens, owns = (np.concatenate([d[i] for d in done]) if done else np.zeros(0, np.int64) for i in (0, 1))
+        order = np.argsort(owns, kind="stable")
+        return tokens[order], owns[order]
+
+    def merged_long(self, piece: str) -> list[int]:
+        """Exact merging of one long piece, by a heap of pairs: n log n steps."""
+        part = [*self.inner[[ord(c) for c in piece]].tolist()]
+        part[-1] = int(self.final[ord(piece[-1])])
+        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
+        rank = lambda i: self.merge.get((part[i], part[after[i]]), NEVER) if after[i] < len(part) else NEVER
+        heap = [(r, i) for i in range(len(part)) if (r := rank(i)) != NEVER]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if part[i] < 0 or rank(i) != r:
+                continue
+            j = after[i]
+            part[i], part[j] = int(self.made[r]), -1
+            after[i] = after[j]
+            if after[i] < len(part):
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (r := rank(k)) != NEVER:
+                    heapq.heappush(heap, (r, k))
+        return [x for x in part if x >= 0]
+
+    def split(self, units: list[str]) -> tuple[list[str], list[int]]:
+        """Normalised pieces, in the byte alphabet, of units without special tokens; how many each unit has."""
+        plain = [u for u in units if u.isascii() and u.isprintable()]
+        found = self.ascii_piece.findall(" ".join(plain).lower() + " ") if plain else []
+        ends = [i for i, p in enumerate(found) if p == " "]
+        by_unit = {u: found[i + 1 : j] for u, i, j in zip(plain, [-1, *ends], ends, strict=False)}
+        other = [u for u in units if u not in by_unit]
+        if other:
+            text = self.library.normalizer.normalize_str(" ".join(other))
+            if text.count(" ") == len(other) - 1:
+                got, last, mine = self.library.pre_tokenizer.pre_tokenize_str(text), None, []
+                groups = []
+                for piece, (start, end) in got:
+                    if start != last:
+                        groups.append(mine := [])
+                    mine.append(piece)
+                    last = end
+                if len(groups) == len(other):
+                    by_unit |= zip(other, groups, strict=True)
+            for u in other:
+                if u not in by_unit:
+                    by_unit[u] = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(u))]
+        return [p for u in units for p in by_unit[u]], [len(by_unit[u]) for u in units]
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces, and where each piece begins (one entry more than pieces)."""
+        flat, own, whole = self.propose(pieces)
+        bad = ~whole
         bad[own[~self.sound[flat]]] = True
         inner = np.flatnonzero(own[1:] == own[:-1])
         pairs, which = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
         ok = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
         bad[own[inner[~ok[which]]]] = True
-        for i in np.flatnonzero(bad).tolist():
-            found[i] = self.merged(pieces[i])
-        return found
+        keep = ~bad[own]
+        flat, own = flat[keep], own[keep]
+        again = np.flatnonzero(bad)
+        long = [i for i in again.tolist() if len(pieces[i]) > LONG]
+        if len(again) > len(long):
+            short = again[[len(pieces[i]) <= LONG for i in again.tolist()]]
+            tokens, at = self.merged([pieces[i] for i in short.tolist()])
+            flat, own = np.concatenate([flat, tokens]), np.concatenate([own, short[at]])
+        for i in long:
+            tokens = np.array(self.merged_long(pieces[i]), np.int64)
+            flat, own = np.concatenate([flat, tokens]), np.concatenate([own, np.full(len(tokens), i)])
+        order = np.argsort(own, kind="stable")
+        return flat[order], np.searchsorted(own[order], np.arange(len(pieces) + 1))
 
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts: list[list] = []
+        segments: list[str] = []
+        for u in units:
+            segments += [u] if "<|" not in u else [x for x in self.split_special.split(u) if x and x not in self.special]
+        segments = list(dict.fromkeys(segments))
+        pieces, counts = self.split(segments)
         wanted: dict[str, int] = {}
-        for unit in units:
-            mine: list = []
-            for seg in self.split_special.split(unit) if self.split_special and "<" in unit else (unit,):
-                if seg in self.special:
-                    mine.append(-1 - self.special[seg])
-                elif seg:
-                    mine += [wanted.setdefault(p, len(wanted)) for p in self.pieces(seg)]
-            parts.append(mine)
-        got = self.encode_pieces(list(wanted))
-        ids, ends = [], []
-        for mine in parts:
-            for k in mine:
-                ids += got[k] if k >= 0 else (-1 - k,)
-            ends.append(len(ids))
-        return np.asarray(ids, np.int64), np.asarray(ends, np.int64)
+        codes = np.array([wanted.setdefault(p, len(wanted)) for p in pieces], np.int64)
+        flat, first = self.encode_pieces(list(wanted)) if wanted else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        size = first[codes + 1] - first[codes]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(first[codes] - total[:-1], size) + np.arange(total[-1])]
+        ends = total[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
+        if len(segments) == len(units) and segments == units:
+            return ids, ends
+        at = {x: (i, j) for x, i, j in zip(segments, [0, *ends.tolist()], ends.tolist(), strict=False)}
+        out: list[int] = []
+        done = []
+        for u in units:
+            for x in [u] if "<|" not in u else self.split_special.split(u):
+                if x in self.special:
+                    out.append(self.special[x])
+                elif x:
+                    out += ids[slice(*at[x])].tolist()
+            done.append(len(out))
+        return np.asarray(out, np.int64), np.asarray(done, np.int64)
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return self.cache.encode(texts)

@@ -21,15 +21,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` into the folder that all executors share and read it back.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, a single machine) a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the cluster names in
+    ``spark.checkpoint.dir``; only where that is unset (tests, a single machine) a
+    temporary one is set."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

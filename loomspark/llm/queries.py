@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import bpe, substring, tokenids
 from .common import documents
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.token_index(documents(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(documents(spark, sf_dir), size=50)
 
@@ -25,8 +29,14 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(s.n_removed,
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
 """
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digest(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_token_ids": op1_token_ids,
     "op5_substring_dedup": op5_substring_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
