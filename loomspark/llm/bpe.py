@@ -19,6 +19,7 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterable
+from itertools import compress, islice
 
 import ahocorasick
 import numpy as np
@@ -35,38 +36,94 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 UNICODE_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
-class UnitCache:
-    """Ids of white-space separated units. ``encode`` gets the distinct units not
-    met before and returns their ids and the end of each; at most ``room`` units
-    are remembered, beyond that all are forgotten and encoded anew."""
+#: Units of these characters alone are normalised and split here; Latin letters that
+#: are one code point, one case pair and already composed.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+| ")
+
+Flat = tuple[np.ndarray, np.ndarray]  # ids of all items, and where each begins (one entry more than items)
+
+
+def gather(flat: np.ndarray, first: np.ndarray, codes: np.ndarray) -> Flat:
+    """Items ``codes`` of a flat list, as a flat list."""
+    start, size = first[codes], first[codes + 1] - first[codes]
+    total = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(start - total[:-1], size) + np.arange(total[-1])], total
+
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], room: int = 600_000):
+class Codes(dict):
+    """Numbers strings in the order they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = code = len(self)
+        return code
+
+
+class Memo:
+    """Ids of strings met before; at most about ``room`` are remembered, beyond that all are forgotten."""
+
+    def __init__(self, encode: Callable[[list[str]], Flat], room: int):
         self.encode_new, self.room = encode, room
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.code = Codes()
+        self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, items: list[str]) -> Flat:
+        known = len(self.code)
+        if known > self.room:
+            self.clear()
+            known = 0
+        codes = np.fromiter(map(self.code.__getitem__, items), np.int64, len(items))
+        if len(self.code) > known:
+            ids, first = self.encode_new(list(islice(reversed(self.code), len(self.code) - known))[::-1])
+            self.ids, self.first = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.first, first[1:] + len(self.ids)])
+        return gather(self.ids, self.first, codes)
+
 
-    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and where each text begins (one entry more than texts)."""
+class UnitCache:
+    """Ids of texts by their white-space separated units, and of these by their pieces.
+
+    ``pieces`` encodes normalised pieces of PLAIN characters, ``units`` encodes units
+    with any others; both get what isn't remembered and return flat lists.
+    """
+
+    def __init__(self, pieces: Callable[[list[str]], Flat], units: Callable[[list[str]], Flat], special: Iterable[str] = (), room: int = 600_000):
+        self.encode_units = units
+        self.special = tuple(special)
+        self.pieces = Memo(pieces, room)
+        self.units = Memo(self._new, room)
+
+    def _new(self, new: list[str]) -> Flat:
+        full = PLAIN.fullmatch
+        plain = [bool(full(u)) and not ("<|" in u and any(s in u for s in self.special)) for u in new]
+        found = PIECE.findall(" ".join(compress(new, plain)).lower() + " ") if any(plain) else []
+        ends = np.flatnonzero(np.fromiter(map(" ".__eq__, found), bool, len(found)))
+        flat, first = self.pieces.encode([p for p in found if p != " "])
+        first = first[np.r_[0, ends - np.arange(len(ends))]]
+        if len(ends) == len(new):
+            return flat, first
+        more, ends = self.encode_units([u for u, p in zip(new, plain, strict=True) if not p])
+        order = np.argsort(np.r_[np.flatnonzero(plain), np.flatnonzero(~np.array(plain))])
+        return gather(np.concatenate([flat, more]), np.concatenate([first, ends[1:] + len(flat)]), order)
+
+    def encode(self, texts: Iterable[str | None]) -> Flat:
+        """Ids of all texts and where each text begins."""
         units: list[str] = []
         sizes = [0]
         for text in texts:
             if text:
                 units += text.split() if not ODD_SPACE.search(text) else filter(None, UNICODE_SPACE.split(text))
             sizes.append(len(units))
-        if len(self.code) > self.room:
-            self.clear()
-        if new := list(dict.fromkeys(u for u in units if u not in self.code)):
-            ids, ends = self.encode_new(new)
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-            self.ids, self.ends = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.ends, ends + len(self.ids)])
-        codes = np.fromiter(map(self.code.__getitem__, units), np.int64, len(units))
-        start, size = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
-        total = np.concatenate([[0], np.cumsum(size)])
-        out = self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
-        return out, total[np.asarray(sizes)]
+        ids, first = self.units.encode(units)
+        return ids, first[np.asarray(sizes)]
+
+
+#: Two-byte Latin letters as the byte alphabet writes them: the lead byte 0xC3 as itself, a byte from 0x80 on
+#: that isn't printable Latin-1 as the character numbered past 255 in the order of such bytes.
+_SHIFTED = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+LATIN_BYTES = {c: "".join(chr(256 + _SHIFTED.index(b)) if b in _SHIFTED else chr(b) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class Codec:
@@ -130,8 +187,7 @@ class Codec:
             self.sound[z] = good and self.sound[x] and self.sound[y]
         if len(set(made.tolist())) < len(made):  # a token with two derivations: nothing is verified, all is merged
             self.sound[:] = False
-        self.cache = UnitCache(self._units)
-        self.ascii_piece = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+| ")
+        self.cache = UnitCache(self._plain, self._units, self.special)
         self.digits = np.array([str(i) for i in range(n)], object)
 
     def _slot(self, pair: np.ndarray) -> np.ndarray:
@@ -220,32 +276,17 @@ class Codec:
                     heapq.heappush(heap, (r, k))
         return [x for x in part if x >= 0]
 
-    def split(self, units: list[str]) -> tuple[list[str], list[int]]:
-        """Normalised pieces, in the byte alphabet, of units without special tokens; how many each unit has."""
-        plain = [u for u in units if u.isascii() and u.isprintable()]
-        found = self.ascii_piece.findall(" ".join(plain).lower() + " ") if plain else []
-        ends = [i for i, p in enumerate(found) if p == " "]
-        by_unit = {u: found[i + 1 : j] for u, i, j in zip(plain, [-1, *ends], ends, strict=False)}
-        other = [u for u in units if u not in by_unit]
-        if other:
-            text = self.library.normalizer.normalize_str(" ".join(other))
-            if text.count(" ") == len(other) - 1:
-                got, last, mine = self.library.pre_tokenizer.pre_tokenize_str(text), None, []
-                groups = []
-                for piece, (start, end) in got:
-                    if start != last:
-                        groups.append(mine := [])
-                    mine.append(piece)
-                    last = end
-                if len(groups) == len(other):
-                    by_unit |= zip(other, groups, strict=True)
-            for u in other:
-                if u not in by_unit:
-                    by_unit[u] = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(u))]
-        return [p for u in units for p in by_unit[u]], [len(by_unit[u]) for u in units]
-
-    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all pieces, and where each piece begins (one entry more than pieces)."""
+    def _plain(self, pieces: list[str]) -> Flat:
+        return self.encode_pieces("\n".join(pieces).translate(LATIN_BYTES).split("\n") if pieces else [])
+
+    def pieces(self, unit: str) -> list[str]:
+        """Normalised pieces, in the byte alphabet, of a text without special tokens."""
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(unit))]
+
+    def encode_pieces(self, pieces: list[str]) -> Flat:
+        """Tokens of pieces in the byte alphabet."""
+        if not pieces:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
         flat, own, whole = self.propose(pieces)
         bad = ~whole
         bad[own[~self.sound[flat]]] = True
@@ -267,34 +308,25 @@ class Codec:
         order = np.argsort(own, kind="stable")
         return flat[order], np.searchsorted(own[order], np.arange(len(pieces) + 1))
 
-    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        segments: list[str] = []
-        for u in units:
-            segments += [u] if "<|" not in u else [x for x in self.split_special.split(u) if x and x not in self.special]
-        segments = list(dict.fromkeys(segments))
-        pieces, counts = self.split(segments)
+    def _units(self, units: list[str]) -> Flat:
+        plan: list[list[int]] = []  # of each unit: numbers of pieces, or -1 - the id of a special token
         wanted: dict[str, int] = {}
-        codes = np.array([wanted.setdefault(p, len(wanted)) for p in pieces], np.int64)
-        flat, first = self.encode_pieces(list(wanted)) if wanted else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        size = first[codes + 1] - first[codes]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(first[codes] - total[:-1], size) + np.arange(total[-1])]
-        ends = total[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
-        if len(segments) == len(units) and segments == units:
-            return ids, ends
-        at = {x: (i, j) for x, i, j in zip(segments, [0, *ends.tolist()], ends.tolist(), strict=False)}
-        out: list[int] = []
-        done = []
         for u in units:
-            for x in [u] if "<|" not in u else self.split_special.split(u):
+            plan.append(mine := [])
+            for x in self.split_special.split(u) if self.split_special else [u]:
                 if x in self.special:
-                    out.append(self.special[x])
+                    mine.append(-1 - self.special[x])
                 elif x:
-                    out += ids[slice(*at[x])].tolist()
-            done.append(len(out))
-        return np.asarray(out, np.int64), np.asarray(done, np.int64)
-
-    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+                    mine += [wanted.setdefault(p, len(wanted)) for p in self.pieces(x)]
+        flat, first = self.encode_pieces(list(wanted))
+        special = np.array(sorted(self.special.values()), np.int64)
+        place = {int(v): len(wanted) + i for i, v in enumerate(special)}
+        flat, first = np.concatenate([flat, special]), np.concatenate([first, first[-1] + 1 + np.arange(len(special))])
+        codes = np.array([k if k >= 0 else place[-1 - k] for mine in plan for k in mine], np.int64)
+        ids, first = gather(flat, first, codes)
+        return ids, first[np.concatenate([[0], np.cumsum([len(m) for m in plan])])]
+
+    def encode(self, texts: Iterable[str | None]) -> Flat:
         return self.cache.encode(texts)
 
     def decode(self, ids: np.ndarray) -> str:

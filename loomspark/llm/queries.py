@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, substring, tokenids
+from . import ann, bpe, quality, secrets, sharding, substring, tokenids
 from .common import documents
 
+SHARD_BYTES = 64 << 20
+
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_index(documents(spark, sf_dir))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_ids(documents(spark, sf_dir), SHARD_BYTES)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(documents(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(documents(spark, sf_dir), size=50)
 
@@ -29,16 +39,29 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(s.n_removed,
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
 """
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(documents(spark, sf_dir))
 
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op3_sharding": op3_sharding,
+    "op4_secrets": op4_secrets,
     "op5_substring_dedup": op5_substring_dedup,
+    "op8_quality": op8_quality,
+    "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
+    "op3_sharding": sharding.oracle(SHARD_BYTES),
     "op5_substring_dedup": OP5_SQL,
 }

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bpe import UnitCache, tokenizer_path
+from .bpe import BATCH, Flat, UnitCache, tokenizer_path
 from .common import chunks, shared_folder
 
 HEAD = struct.Struct("<4sHHQQQB5Q")
@@ -118,8 +118,8 @@ class Segment:
 
 
 class LibraryUnits:
-    """White-space separated units encoded by the tokenizers library. A special
-    token stands between units: the library treats what is between two of them alone."""
+    """Units and pieces of texts encoded by the tokenizers library. A special
+    token stands between them: the library treats what is between two of them alone."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -131,17 +131,32 @@ class LibraryUnits:
         self.special = list(special)
         self.mark, self.mark_id = max(special.items(), key=lambda x: x[1])
         self.vocab_size = self.library.get_vocab_size()
-        self.cache = UnitCache(self.encode_units)
-
-    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [u for u in units if not any(s in u for s in self.special)] if any(self.special[0][:2] in u for u in units) else units
-        flat = np.array(self.library.encode(self.mark.join(plain) + self.mark, add_special_tokens=False).ids, np.int64)
+        tokens = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.vocab_size + 1, bool)
+        self.ends[[i for t, i in tokens.items() if t.endswith(self.library.model.end_of_word_suffix)]] = True
+        self.cache = UnitCache(self.pieces, self.units, self.special)
+
+    def pieces(self, items: list[str]) -> Flat:
+        """Normalised pieces: each ends with a token that has the end-of-word suffix."""
+        flat = np.array(self.library.encode(" ".join(items), add_special_tokens=False).ids, np.int64)
+        return flat, np.concatenate([[0], np.flatnonzero(self.ends[flat]) + 1])
+
+    def between_marks(self, items: list[str]) -> Flat:
+        """Items without special tokens."""
+        if not items:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        flat = np.array(self.library.encode(self.mark.join(items) + self.mark, add_special_tokens=False).ids, np.int64)
         ends = np.flatnonzero(flat == self.mark_id)
-        if len(plain) == len(units):
-            return flat[flat != self.mark_id], ends - np.arange(len(ends))
-        known = {u: flat[i:j] for u, i, j in zip(plain, np.r_[0, ends[:-1] + 1].tolist(), ends.tolist(), strict=True)}
-        each = [known[u] if u in known else np.array(self.library.encode(u, add_special_tokens=False).ids, np.int64) for u in units]
-        return np.concatenate(each), np.cumsum([len(x) for x in each])
+        return flat[flat != self.mark_id], np.concatenate([[0], ends - np.arange(len(ends))])
+
+    def units(self, units: list[str]) -> Flat:
+        alone = [any(s in u for s in self.special) for u in units]
+        flat, first = self.between_marks([u for u, a in zip(units, alone, strict=True) if not a])
+        if not any(alone):
+            return flat, first
+        rest = iter(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+        each = [np.array(self.library.encode(u, add_special_tokens=False).ids, np.int64) if a else flat[slice(*next(rest))] for u, a in zip(units, alone, strict=True)]
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
 
 
 _UNITS: dict[str, LibraryUnits] = {}
@@ -171,7 +186,7 @@ def write_tokens(docs: DataFrame, folder: str, name: str = "word_bpe_49k.json",
             held, seq, before = [], seq + 1, before + len(ids)
             return row
 
-        for table in chunks(batches, SEGMENT_IDS):
+        for table in chunks(batches, BATCH):
             ids, first = units.cache.encode(table["text"].to_pylist())
             ids = np.insert(ids, first[1:], end_id)
             doc_id = table["doc_id"].combine_chunks()
