@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, quality, secrets, sharding, substring, tokenids
+from . import ann, bpe, decontam, neardup, quality, secrets, sharding, substring, tokenids
 from .common import documents
 
 SHARD_BYTES = 64 << 20
@@ -14,6 +14,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_index(documents(spark, sf_dir))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_ids(documents(spark, sf_dir), SHARD_BYTES)
 
@@ -39,6 +43,24 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(s.n_removed,
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
 """
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), size=2).drop("cls")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS g FROM d),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+e AS MATERIALIZED (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -53,9 +75,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_quality": op8_quality,
     "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,
@@ -64,4 +88,5 @@ QUERIES = {
 ORACLES = {
     "op3_sharding": sharding.oracle(SHARD_BYTES),
     "op5_substring_dedup": OP5_SQL,
+    "op6_near_duplicates": OP6_SQL,
 }
