@@ -80,10 +80,10 @@ class Words:
     ``end`` (bytes in ``data``), ``first`` (index of each row's first word; one
     more entry than rows). Null texts have no words."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, table: np.ndarray | None = None):
         self.data, offsets = buffers(texts)
-        if lower:
-            self.data = _LOWER[self.data]
+        if lower or table is not None:
+            self.data = (_LOWER if table is None else table)[self.data]
         inside = np.zeros(len(self.data) + 2, bool)
         np.logical_not(SPACE[self.data], out=inside[1:-1])
         begins = inside[1:] & ~inside[:-1]

@@ -15,7 +15,7 @@ last level holds a group of near copies; its classes are tied to its smallest on
 Connected components of these edges are the candidate groups. In each group the full
 sets are compared, and only pairs with ``100 * common >= percent * union`` are linked: a
 class that is linked already to a component isn't compared to the rest of it. A group
-whose sets exceed ``GROUP_BYTES`` is worked through in chunks, and then what is outside
+whose sets exceed ``groups.GROUP_BYTES`` is worked through in chunks, and then what is outside
 its largest component goes past every chunk, tile by tile, so that no link is lost and no
 task holds a group of any size.
 
@@ -32,12 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Words, chunks, components, cut, mix, rolling
+from .groups import PACKED, dealt, link_groups
 
 COORDINATES = 64
 AGREE = 36
-GROUP_BYTES = 48 << 20
-#: Classes that go past all chunks of their group at a time.
-TILE = 256
 _A = np.random.default_rng(6).integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _SIZE_SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -188,9 +186,6 @@ class Linker:
             self.members[a] += self.members.pop(b)
 
 
-PACKED = "cls binary, grp binary, part int, items binary"
-
-
 def _pack_sets(size: int):
     def run(batches):
         for table in chunks(batches, 2 << 20):
@@ -204,53 +199,23 @@ def _pack_sets(size: int):
     return run
 
 
-def _link(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = {r["cls"]: r["items"] for r in table.to_pylist()}  # a class may come with several documents
-        names = sorted(rows, key=lambda c: (len(rows[c]), c))
+def _link_sets(percent: int):
+    def link(items: list[bytes]) -> list[int]:
         linker = Linker(percent)
-        for name in names:
-            linker.add(np.frombuffer(rows[name], np.uint64).tolist())
-        least: dict[int, bytes] = {}
-        for name, root in zip(names, linker.root, strict=True):
-            least[root] = min(least.get(root, name), name)
-        return pa.table({"a": pa.array(names, pa.binary()), "b": pa.array([least[r] for r in linker.root], pa.binary())})
+        for x in items:
+            linker.add(np.frombuffer(x, np.uint64).tolist())
+        return linker.root
 
-    return run
+    return link
 
 
 def linked_classes(docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of classes linked with others. ``groups``: (cls, grp, doc_id, n) of the
     candidate groups, one document for each class."""
-    total = groups.groupBy("grp").agg(F.sum(F.col("n") * 8).alias("bytes"))
-    parts = total.withColumn("parts", F.ceil(F.col("bytes") / GROUP_BYTES).cast("int")).select("grp", "parts")
-    wanted = groups.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id", "cls", "grp", "part"), "doc_id").select("cls", "grp", "part", "text")
-    packed = sets.mapInArrow(_pack_sets(size), PACKED)
-    oversized = cut(parts.where("parts > 1"))
-    many = not oversized.isEmpty()
-    packed = cut(packed) if many else packed  # read once for each tile
-    links = packed.groupBy("grp", "part").applyInArrow(_link(percent), "a binary, b binary")
-    if not many:
-        return cut(links).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    large = cut(packed.join(oversized.select("grp", "parts"), "grp"))
-    done = None
-    while True:
-        links = cut(links)
-        roots = components(links.where("a <> b"))
-        now = large.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).select("cls", "grp", "root", F.octet_length("items").alias("size"))
-        sizes = now.groupBy("grp", "root").agg(F.sum("size").alias("size"))
-        most = sizes.groupBy("grp").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
-        rest = now.distinct().join(most, "grp").where("root <> largest")
-        rest = rest if done is None else rest.join(done, "cls", "left_anti")
-        tile = rest.withColumn("key", F.xxhash64("cls")).orderBy("grp", "key").limit(TILE).select("cls", "grp")
-        tile = cut(tile)
-        if tile.isEmpty():
-            return roots
-        out = large.join(F.broadcast(tile), ["cls", "grp"]).join(F.broadcast(oversized), "grp").select("cls", "grp", F.explode(F.sequence(F.lit(0), oversized["parts"] - 1)).alias("part"), "items")
-        more = large.select("cls", "grp", "part", "items").join(F.broadcast(tile.select("grp").distinct()), "grp").unionByName(out).groupBy("grp", "part").applyInArrow(_link(percent), "a binary, b binary")
-        links = links.unionByName(more)
-        done = tile.select("cls") if done is None else cut(done.unionByName(tile.select("cls")))
+    wanted, parts = dealt(groups.withColumn("bytes", F.col("n") * 8))
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id", "cls", "grp", "part"), "doc_id")
+    packed = sets.select("cls", "grp", "part", "text").mapInArrow(_pack_sets(size), PACKED)
+    return link_groups(packed, parts, _link_sets(percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = 5, leaf: int = 48, levels: int = 6) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontam, neardup, quality, secrets, sharding, substring, tokenids
+from . import ann, bpe, decontam, lines, neardup, quality, secrets, sharding, substring, tokenids
 from .common import documents
 
 SHARD_BYTES = 64 << 20
@@ -61,6 +61,10 @@ FROM d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeated_lines(documents(spark, sf_dir), digest=True)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
     "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,

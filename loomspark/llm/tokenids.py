@@ -138,14 +138,14 @@ class LibraryUnits:
 
     def pieces(self, items: list[str]) -> Flat:
         """Normalised pieces: each ends with a token that has the end-of-word suffix."""
-        flat = np.array(self.library.encode(" ".join(items), add_special_tokens=False).ids, np.int64)
+        flat = np.array(self.library.encode_batch_fast([" ".join(items)], add_special_tokens=False)[0].ids, np.int64)
         return flat, np.concatenate([[0], np.flatnonzero(self.ends[flat]) + 1])
 
     def between_marks(self, items: list[str]) -> Flat:
         """Items without special tokens."""
         if not items:
             return np.zeros(0, np.int64), np.zeros(1, np.int64)
-        flat = np.array(self.library.encode(self.mark.join(items) + self.mark, add_special_tokens=False).ids, np.int64)
+        flat = np.array(self.library.encode_batch_fast([self.mark.join(items) + self.mark], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(flat == self.mark_id)
         return flat[flat != self.mark_id], np.concatenate([[0], ends - np.arange(len(ends))])
 
