@@ -78,16 +78,16 @@ def _signatures(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, cls, sig): number of shingles, the set's name, its signature."""
+    """(doc_id, h, n, cls, sig): ``h`` hashes the text; number of shingles, the set's name, its signature."""
 
     def run(batches):
         for table in chunks(batches, 2 << 20):
             x, first = shingles(table["text"], size)
             sig = _signatures(x, first)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * COORDINATES), pa.array(sig.ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(np.diff(first), pa.int64()), pa.array(_set_keys(x, first), pa.binary()), lists], ["doc_id", "n", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), table["h"].combine_chunks(), pa.array(np.diff(first), pa.int64()), pa.array(_set_keys(x, first), pa.binary()), lists], ["doc_id", "h", "n", "cls", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls binary, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, cls binary, sig array<int>")
 
 
 def _leaf_edges(batches):
@@ -219,7 +219,7 @@ def linked_classes(docs: DataFrame, groups: DataFrame, size: int, percent: int)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = 5, leaf: int = 48, levels: int = 6) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, cls): ``component_id`` is the smallest doc_id reachable over links."""
+    """(doc_id, n_shingles, component_id, kept, h, cls): ``component_id`` is the smallest doc_id reachable over links."""
     rows = cut(sketches(docs, size))
     whole = rows.where("cls is not null and doc_id is not null")
     classes = whole.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -231,7 +231,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     named = classes.select("cls", "doc_id").join(links.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select("cls", "component_id")
-    full = whole.select("doc_id", "n", "cls").join(named, "cls")
-    empty = rows.where("cls is null or doc_id is null").select("doc_id", "n", "cls", F.col("doc_id").alias("component_id"))
-    out = full.select("doc_id", "n", "cls", "component_id").unionByName(empty)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "cls")
+    full = whole.select("doc_id", "h", "n", "cls").join(named, "cls")
+    empty = rows.where("cls is null or doc_id is null").select("doc_id", "h", "n", "cls", F.col("doc_id").alias("component_id"))
+    out = full.select("doc_id", "h", "n", "cls", "component_id").unionByName(empty)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "h", "cls")
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one document of each component: the one of smallest id,
+    and of rows equal in id and text one."""
+    found = cut(near_duplicates(docs, size, percent).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "kept"))
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64("text"))
+    gone = found.where("not kept").select("__id", "__h").distinct()  # rows without an id are kept
+    out = keyed.join(gone, ["__id", "__h"], "left_anti")
+    if not found.where("kept").groupBy("__id", "__h").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["__id", "__h"])
+    return out.drop("__id", "__h")

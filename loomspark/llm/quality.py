@@ -243,3 +243,14 @@ def score_documents(docs: DataFrame, field: LineField, threshold: float = 0.3) -
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 3000) -> DataFrame:
     return score_documents(docs, learn(docs, labels, sample), threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 3000) -> DataFrame:
+    """``docs``, all columns, without the documents scored under ``threshold``. Nothing is joined or shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))
+
+    def run(batches):
+        for table in chunks(batches, 2 << 20):
+            yield from table.filter(pa.array(shared.value.score(table["text"]) >= threshold)).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)

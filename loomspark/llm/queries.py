@@ -44,7 +44,7 @@ FROM d LEFT JOIN s ON s.doc_id = d.doc_id
 """
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir), size=2).drop("cls")
+    return neardup.near_duplicates(documents(spark, sf_dir), size=2).drop("h", "cls")
 
 
 OP6_SQL = r"""
