@@ -220,7 +220,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 50_000) -> LineField:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 1500, longest: int = 20_000) -> LineField:
     """Fit on at most ``sample`` labelled documents that aren't held out, of ``longest`` characters at most."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(sample)
@@ -241,11 +241,11 @@ def score_documents(docs: DataFrame, field: LineField, threshold: float = 0.3) -
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 3000) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 1500) -> DataFrame:
     return score_documents(docs, learn(docs, labels, sample), threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 3000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 1500) -> DataFrame:
     """``docs``, all columns, without the documents scored under ``threshold``. Nothing is joined or shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))
 
