@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx, vectors as vx
 
@@ -230,7 +230,7 @@ def rerank(items: DataFrame, scorer: Callable[[list[str]], list[float]] | None =
                 score = [-float(r) for r in batch.column("rank").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "rerank_score"])
 
-    schema = head.schema.add("rerank_score", "double")
+    schema = T.StructType([*head.schema.fields, T.StructField("rerank_score", T.DoubleType())])
     return head.coalesce(1).mapInArrow(run, schema).orderBy(F.desc("rerank_score"), "rank").limit(keep)
 
 
