@@ -9,8 +9,9 @@ of each shared node with a chance of 0.96, and a leaf of a tree of any depth wit
 five), whatever the other documents are. Nodes of at most ``leaf`` classes are leaves: their
 classes are compared exhaustively by their signatures; the pairs that may be similar
 (at least 56 % of the coordinates agree, which a pair of 0.8 misses with a chance of
-1e-6) give the edges of a spanning forest of the node. A node still larger at the
-last level holds a group of near copies; its classes are tied to its smallest one.
+1e-6) give the edges of a spanning forest of the node. Nodes still larger at the last of
+``levels`` levels hold groups of near copies, which no further level would part (it would
+only multiply them); their classes are tied to the smallest one and compared below.
 
 Connected components of these edges are the candidate groups. In each group the full
 sets are compared, and only pairs with ``100 * common >= percent * union`` are linked: a
@@ -218,7 +219,7 @@ def linked_classes(docs: DataFrame, groups: DataFrame, size: int, percent: int)
     return link_groups(packed, parts, _link_sets(percent))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = 5, leaf: int = 48, levels: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = 5, leaf: int = 48, levels: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, h, cls): ``component_id`` is the smallest doc_id reachable over links."""
     rows = cut(sketches(docs, size))
     whole = rows.where("cls is not null and doc_id is not null")
