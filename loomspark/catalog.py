@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of ``loomspark.plans``; each has QUERIES and ORACLES.
-PLANS: tuple[str, ...] = ("stream_plans", "graph_plans", "derived_plans")
+PLANS: tuple[str, ...] = ("stream_plans", "graph_plans", "derived_plans", "context_plans")
 
 
 def _merged(what: str) -> dict:

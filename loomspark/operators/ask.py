@@ -63,10 +63,10 @@ class Graph:
     mentions: DataFrame
     about: DataFrame
 
-    def pagerank(self) -> DataFrame:
+    def pagerank(self, most: int = 20) -> DataFrame:
         links = self.about.join(self.facts.select("fact", "confidence"), "fact")
         edges = gr.co_participation(links, "fact", "entity", F.col("confidence"), gr.HUB).select("a", "b", "weight")
-        return gr.pagerank(edges).select(F.col("node").alias("entity"), "rank")
+        return gr.pagerank(edges, most=most).select(F.col("node").alias("entity"), "rank")
 
 
 def ask(spark: SparkSession, g: Graph, question: str, intent: Intent | None = None, top: int = 30, scorer=None, answer: Callable[[str], str] | None = None) -> dict:
