@@ -187,7 +187,7 @@ class Codec:
             self.sound[z] = good and self.sound[x] and self.sound[y]
         if len(set(made.tolist())) < len(made):  # a token with two derivations: nothing is verified, all is merged
             self.sound[:] = False
-        self.cache = UnitCache(self._plain, self._units, self.special)
+        self.cache = UnitCache(self._plain, self._units, self.special, room=200_000)
         self.digits = np.array([str(i) for i in range(n)], object)
 
     def _slot(self, pair: np.ndarray) -> np.ndarray:
