@@ -206,7 +206,7 @@ def latest_inbound_mentioned(spark, d):
 
 @query("reply_latency", f"""
 WITH {EV}, w AS (SELECT user_id, event_id, ms, event_type, (SELECT min(r.ms) FROM e r WHERE r.user_id = e.user_id AND r.event_type = 'purchase' AND (r.ms, r.event_id) > (e.ms, e.event_id)) AS reply_at FROM e)
-SELECT user_id, count(reply_at) AS n, sum(reply_at - ms) AS waited FROM w WHERE event_type <> 'purchase' GROUP BY user_id""")
+SELECT user_id, count(reply_at) AS n, CAST(sum(reply_at - ms) AS BIGINT) AS waited FROM w WHERE event_type <> 'purchase' GROUP BY user_id""")
 def reply_latency(spark, d):
     e = events(spark, d).select("user_id", "event_id", "ms", "event_type")
     return ms.next_match(e, "user_id", "ms", "event_id", mine()).groupBy("user_id").agg(F.count("reply_at").alias("n"), F.sum(F.col("reply_at") - F.col("ms")).alias("waited"))
