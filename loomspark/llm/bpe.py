@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, mix
+from .common import chunks, give_back, mix
 
 NEVER = np.iinfo(np.int64).max
 #: Pieces with more symbols are merged one by one, by a heap.
@@ -95,6 +95,10 @@ class UnitCache:
         self.pieces = Memo(pieces, room)
         self.units = Memo(self._new, room)
 
+    def clear(self) -> None:
+        self.pieces.clear()
+        self.units.clear()
+
     def _new(self, new: list[str]) -> Flat:
         full = PLAIN.fullmatch
         plain = [bool(full(u)) and not ("<|" in u and any(s in u for s in self.special)) for u in new]
@@ -395,5 +399,7 @@ def bpe_digest(docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFrame:
                 table["doc_id"].combine_chunks(), pa.array(np.diff(first), pa.int64()),
                 pa.array([sha(" ".join(c.digits[x].tolist())) for x in each], pa.string()), pa.array([sha(c.decode(x)) for x in each], pa.string()),
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.cache.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGESTS)

@@ -3,6 +3,8 @@ hashing on bytes, checkpoints and connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 import numpy as np
@@ -121,6 +123,14 @@ def window_hashes(words: Words, size: int, seed: int) -> tuple[np.ndarray, np.nd
     return at, rolling(words.hashes(seed), at, at + size, base)
 
 
+def give_back() -> None:
+    """Return a finished task's memory: workers live on and run tasks of other operators."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches, max_bytes: int, column: str = "text"):
     """Regroup Arrow batches into tables of about ``max_bytes`` of text, whatever
     the size of the batches that come in; a longer single row stands alone."""
@@ -141,6 +151,8 @@ def chunks(batches, max_bytes: int, column: str = "text"):
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    give_back()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
