@@ -21,8 +21,10 @@ def build(app: str = "loomspark", cores: int | str = "*", **conf: str) -> SparkS
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make Python workers able to import this package, wherever they run; once a context."""
+    """Make Python workers able to import this package, wherever they run (once a context), and
+    bound Arrow batches: a batch of very long texts stands in the JVM and in the worker at once."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="loomspark-")) / f"{root.name}.zip"
