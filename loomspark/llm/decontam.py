@@ -28,6 +28,9 @@ from .common import chunks, mix
 Q = 10
 MAX_ITEM_CHARS = 16 << 20
 _TABLE_BITS = 22
+#: Of a key of item and band: bands lie below 2**41, items below 2**21 (a tile has fewer, of Q characters or more).
+_BAND_BITS = 41
+_MOST_ITEMS = 1 << 62 - _BAND_BITS
 _FOLD = np.arange(0x3000, dtype=np.uint32)
 for _i in range(0x3000):
     if len(chr(_i).lower()) == 1:
@@ -64,6 +67,8 @@ class Items:
         kept = [(i, p) for i, p in ((i, folded(t)) for i, t in zip(ids, texts, strict=True)) if len(p) >= q]
         self.ids = [i for i, _ in kept]
         self.points = [p for _, p in kept]
+        if len(kept) > _MOST_ITEMS:
+            raise ValueError(f"a tile holds {len(kept)} items, at most {_MOST_ITEMS} fit")
         size = np.array([len(p) for p in self.points], np.int64)
         self.edits = np.minimum((size * error).astype(np.int64), np.maximum(0, (size - q) // q))  # the bound stays above 0
         self.bound = size - q + 1 - q * self.edits
@@ -109,11 +114,11 @@ class Items:
         diagonal = np.repeat(hit, count) - self.at[slot]
         width = self.edits[item] + 1
         band = (diagonal + (1 << 40)) // width  # each diagonal lies in two bands
-        both = np.concatenate([item << 48 | band, item << 48 | (band - 1)])
+        both = np.concatenate([item << _BAND_BITS | band, item << _BAND_BITS | (band - 1)])
         key, n = np.unique(both, return_counts=True)
-        item = key >> 48
+        item = key >> _BAND_BITS
         good = n >= self.bound[item]
-        item, band = item[good], (key & (1 << 48) - 1)[good]
+        item, band = item[good], (key & (1 << _BAND_BITS) - 1)[good]
         return item, band * (self.edits[item] + 1) - (1 << 40)
 
     def align(self, points: np.ndarray, item: int, diagonals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

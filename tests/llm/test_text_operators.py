@@ -224,3 +224,16 @@ def test_benchmark_in_tiles(frame, spark, monkeypatch):
     whole = sorted(rows(decontam.contaminated(docs, benchmark)))
     monkeypatch.setattr(decontam, "MAX_ITEM_CHARS", 150)
     assert sorted(rows(decontam.contaminated(docs, benchmark))) == whole and len(whole) >= 6
+
+
+def test_decontamination_of_many_short_items(frame, spark):
+    import random
+
+    rng = random.Random(21)
+    items = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=40))) for i in range(70_000)]
+    held = [5, 32_767, 32_768, 40_000, 65_535, 65_536, 69_999]
+    texts = [f"before {items[i][1]} after" for i in held] + ["nothing of the benchmark in here"]
+    found = decontam.contaminated(frame(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in found} == {(d, i, 0) for d, i in enumerate(held)}
+    kept = decontam.without_contaminated(frame(texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [len(held)]
