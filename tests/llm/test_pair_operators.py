@@ -259,3 +259,40 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
     few = ann.nearest(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).collect()
     assert len(few) == 2
+
+
+def near_copies(rng, n):
+    """Texts of a line each, most of them a few words or letters away from an earlier one."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(rng.randint(8, 40))) for _ in range(n)]
+    for s in texts[:n]:
+        w = s.split(" ")
+        w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+        i = rng.randrange(len(s))
+        texts.append(s[:i] + "Q" + s[i + 1 :])
+    return texts
+
+
+def test_lines_are_linked_by_edit_similarity_alone(frame):
+    texts = near_copies(random.Random(12), 60)
+    forms = [t.lower() for t in texts]
+    links = [(i, j) for i in range(len(forms)) for j in range(i) if levenshtein(forms[i], forms[j]) <= max(len(forms[i]), len(forms[j])) * 20 // 100]
+    assert len(links) > 100
+    root = union_find(len(forms), links)
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    want = {i for i, r in enumerate(root) if least[r] != i}
+    removed = lambda **kw: {r.doc_id for r in lines.without_repeated_lines(frame(texts), **kw).collect() if r.n_removed}
+    got = removed(near="grams")
+    assert got <= want and len(got) >= 0.97 * len(want)
+    assert len(removed()) < 0.8 * len(want)  # SimHash of words: the default of the function, not of query and pipeline
+
+
+def test_op7_links_by_edit_similarity(spark, tmp_path):
+    from loomspark.llm.queries import QUERIES
+
+    texts = near_copies(random.Random(13), 40)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sum(r.n_removed for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()) >= 76
