@@ -62,7 +62,7 @@ FROM d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.without_repeated_lines(documents(spark, sf_dir), digest=True, near="grams")
+    return lines.without_repeated_lines(documents(spark, sf_dir), min_words=1, digest=True, near="grams")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,3 +296,14 @@ def test_op7_links_by_edit_similarity(spark, tmp_path):
     texts = near_copies(random.Random(13), 40)
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sum(r.n_removed for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()) >= 76
+
+
+def test_op7_collapses_lines_of_one_word(spark, tmp_path):
+    from corpus_pipeline import line_dedup
+    from loomspark.llm.queries import QUERIES
+
+    texts = ["没有空格的一行文字\nfirst text of its own", "没有空格的一行文字\nanother one, unlike it", "Share\nnothing in common here\n\n", "share!\n--\n--\nquite different words\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
+    assert {r.doc_id: r.text for r in line_dedup(spark, docs, str(tmp_path)).collect()} == {0: texts[0], 1: "another one, unlike it", 2: texts[2], 3: "--\n--\nquite different words\n\n"}
