@@ -191,20 +191,21 @@ def entity_similarity(pairs: DataFrame, chunks_of: DataFrame, least: float = 0.4
 
 def disambiguation_candidates(entities: DataFrame, similar: DataFrame, chars: float = 0.3, structure: float = 0.3, busiest: int = 500, short: int = 6, largest_block: int = 200) -> DataFrame:
     """(a < b) from five blockers over (entity, name, mentions, messages): sound, initials, shared characters of short
-    names, vectors (``similar`` (a, b)), and shared messages of the busiest. Blocks meet on a key; larger ones than
-    ``largest_block`` say nothing and are left out."""
+    names, vectors (``similar`` (a, b)), and shared messages of the busiest. Blocks meet on a key; larger ones of sound and
+    initials than ``largest_block`` say nothing and are left out. Shared characters have no such bound."""
     key = tx.phonetic_key("name")
     e = entities.select("entity", "name", "messages", "mentions", key["full"].alias("full"), key["initials"].alias("initials"))
 
-    def block(rows: DataFrame, on: str) -> DataFrame:
+    def block(rows: DataFrame, on: str, most: int | None = largest_block) -> DataFrame:
         rows = rows.where(F.col(on).isNotNull() & (F.col(on) != "")).select("entity", "name", on).distinct()
-        sized = rows.join(rows.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n").between(2, largest_block)).select(on), on, "left_semi")
+        n = F.col("n")
+        sized = rows.join(rows.groupBy(on).agg(F.count("*").alias("n")).where(n > 1 if most is None else n.between(2, most)).select(on), on, "left_semi")
         return sized.select(on, F.col("entity").alias("a"), F.col("name").alias("name_a")).join(sized.select(on, F.col("entity").alias("b"), F.col("name").alias("name_b")), on).where("a < b")
 
     letters = e.where(F.length("name") <= short).select("entity", "name", F.explode(F.array_distinct(F.split("name", ""))).alias("letter"))
     found = [
         block(e, "full").select("a", "b"), block(e.where(F.length("initials") > 1), "initials").select("a", "b"),
-        block(letters, "letter").where(tx.char_jaccard("name_a", "name_b") >= chars).select("a", "b"), similar.select("a", "b"),
+        block(letters, "letter", None).where(tx.char_jaccard("name_a", "name_b") >= chars).select("a", "b"), similar.select("a", "b"),
     ]
     busy = e.orderBy(F.desc("mentions"), "entity").limit(busiest).select("entity", "name", "messages", F.explode("messages").alias("message"))
     shared = busy.select("message", F.col("entity").alias("a"), F.col("messages").alias("ma")).join(busy.select("message", F.col("entity").alias("b"), F.col("messages").alias("mb")), "message").where("a < b").where(tx.structural_jaccard("ma", "mb") >= structure)

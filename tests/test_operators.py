@@ -300,3 +300,14 @@ def test_outbox_and_retention(spark, tmp_path):
     ex.append_new(spark, str(tmp_path / "raw"), spark.createDataFrame([(1, "a"), (1, "a")], "id int, h string"), ["id", "h"])
     ex.append_new(spark, str(tmp_path / "raw"), spark.createDataFrame([(1, "a"), (2, "b")], "id int, h string"), ["id", "h"])
     assert spark.read.parquet(str(tmp_path / "raw")).count() == 2
+
+
+def test_common_letters_of_short_names_still_block(spark):
+    from itertools import combinations
+
+    names = {i: "王" + chr(0x4E00 + 7 * i) for i in range(260)}  # the shared letter is all that two of them have in common
+    e = spark.createDataFrame([(i, n, 1, []) for i, n in names.items()], "entity long, name string, mentions long, messages array<long>")
+    none = spark.createDataFrame([], "a long, b long")
+    got = {(r.a, r.b) for r in gr.disambiguation_candidates(e, none).collect()}
+    want = {(a, b) for a, b in combinations(names, 2) if len(set(names[a]) & set(names[b])) >= 0.3 * len(set(names[a]) | set(names[b]))}
+    assert want <= got and len(want) == 260 * 259 // 2
