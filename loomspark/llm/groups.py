@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, cut
+from .common import Scratch, components, keep
 
 GROUP_BYTES = 48 << 20
 #: Classes that go past all chunks of their group at a time.
@@ -32,35 +32,39 @@ def _linked(link: Link):
     return run
 
 
-def dealt(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``groups`` (with grp, cls and bytes) with the chunk (part) of each class, and (grp, parts) of each group."""
+def dealt(groups: DataFrame, cut: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``groups`` (with grp, cls and bytes) with the chunk (part) of each class, and (grp, parts) of the groups of more than one chunk."""
     parts = groups.groupBy("grp").agg(F.ceil(F.sum("bytes") / GROUP_BYTES).cast("int").alias("parts"))
-    parts = parts.withColumn("parts", F.greatest("parts", F.lit(1)))
-    return groups.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).drop("parts"), parts
+    oversized = cut(parts.where("parts > 1"))  # at most total bytes / GROUP_BYTES rows
+    if oversized.isEmpty():
+        return groups.withColumn("part", F.lit(0)), oversized
+    chunk = F.pmod(F.xxhash64("cls"), F.coalesce("parts", F.lit(1))).cast("int")
+    return groups.join(oversized, "grp", "left").withColumn("part", chunk).drop("parts"), oversized
 
 
-def link_groups(packed: DataFrame, parts: DataFrame, link: Link) -> DataFrame:
+def link_groups(packed: DataFrame, oversized: DataFrame, link: Link, cut: Scratch) -> DataFrame:
     """(node, root) of classes, from PACKED rows. A group of one chunk is linked in one task.
     Of a larger one the chunks are linked first; then every class outside the group's
     largest component goes past all chunks, TILE at a time, until nothing can be missing."""
-    oversized = cut(parts.where("parts > 1"))
     many = not oversized.isEmpty()
     packed = cut(packed) if many else packed  # read once for each tile
     links = cut(packed.groupBy("grp", "part").applyInArrow(_linked(link), PAIRS))
     if not many:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return keep(links.select(F.col("a").alias("node"), F.col("b").alias("root")))
     large = packed.join(oversized, "grp")
     done = None
     while True:
         roots = components(links.where("a <> b"))
-        now = large.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "grp", F.coalesce("root", "cls").alias("root"), F.octet_length("items").alias("size"))
+        now = cut(large.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "grp", F.coalesce("root", "cls").alias("root"), F.octet_length("items").alias("size")))
         most = now.groupBy("grp", "root").agg(F.sum("size").alias("size")).groupBy("grp").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
         rest = now.join(most, "grp").where("root <> largest").select("grp", "cls").distinct()
         rest = rest if done is None else rest.join(done, ["grp", "cls"], "left_anti")
         tile = cut(rest.orderBy("grp", "cls").limit(TILE))
+        cut.drop(now)
         if tile.isEmpty():
             return roots
         out = large.join(F.broadcast(tile), ["grp", "cls"]).select("cls", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "items")
         past = large.select("cls", "grp", "part", "items").join(F.broadcast(tile.select("grp").distinct()), "grp")
-        links = cut(links.unionByName(past.unionByName(out).groupBy("grp", "part").applyInArrow(_linked(link), PAIRS)).distinct())
+        last, links = links, cut(links.unionByName(past.unionByName(out).groupBy("grp", "part").applyInArrow(_linked(link), PAIRS)).distinct())
+        cut.drop(last)
         done = tile if done is None else cut(done.unionByName(tile))

@@ -30,9 +30,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Words, chunks, components, cut, mix, rolling
+from .common import Scratch, Words, chained, chunks, components, keep, mix
 from .groups import PACKED, dealt, link_groups
 
 COORDINATES = 64
@@ -49,9 +49,8 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     at = at[words.doc[at] == words.doc[at + size - 1]] if len(at) else at
     short = np.flatnonzero((count > 0) & (count < size))
     begin = np.concatenate([at, words.first[short]])
-    end = np.concatenate([at + size, words.first[short + 1]])
     doc = words.doc[begin] if len(begin) else np.zeros(0, np.int64)
-    x = rolling(h, begin, end, 0xD1342543DE82EF95)
+    x = chained(h, begin, np.concatenate([np.full(len(at), size), count[short]]), 60_002)
     order = np.lexsort((x, doc))
     x, doc = x[order], doc[order]
     new = np.r_[True, (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])] if len(x) else np.zeros(0, bool)
@@ -109,7 +108,7 @@ def _leaf_edges(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def candidate_edges(classes: DataFrame, trees: int, leaf: int, levels: int) -> DataFrame:
+def candidate_edges(classes: DataFrame, trees: int, leaf: int, levels: int, cut: Scratch) -> DataFrame:
     """(a, b) edges whose components hold every similar pair that shares a node, from (cls, sig)."""
 
     def step(nodes: DataFrame) -> DataFrame:
@@ -210,41 +209,43 @@ def _link_sets(percent: int):
     return link
 
 
-def linked_classes(docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
+def linked_classes(docs: DataFrame, groups: DataFrame, size: int, percent: int, cut: Scratch) -> DataFrame:
     """(node, root) of classes linked with others. ``groups``: (cls, grp, doc_id, n) of the
     candidate groups, one document for each class."""
-    wanted, parts = dealt(groups.withColumn("bytes", F.col("n") * 8))
+    wanted, oversized = dealt(groups.withColumn("bytes", F.col("n") * 8), cut)
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id", "cls", "grp", "part"), "doc_id")
     packed = sets.select("cls", "grp", "part", "text").mapInArrow(_pack_sets(size), PACKED)
-    return link_groups(packed, parts, _link_sets(percent))
+    return link_groups(packed, oversized, _link_sets(percent), cut)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = 5, leaf: int = 48, levels: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, h, cls): ``component_id`` is the smallest doc_id reachable over links."""
-    rows = cut(sketches(docs, size))
-    whole = rows.where("cls is not null and doc_id is not null")
-    classes = whole.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = cut(classes)
-    edges = candidate_edges(classes.select("cls", "sig"), trees, leaf, levels)
-    groups = components(edges)
-    groups = classes.join(groups.withColumnRenamed("node", "cls").withColumnRenamed("root", "grp"), "cls").select("cls", "grp", "doc_id", "n")
-    links = linked_classes(docs, groups, size, percent)
-    named = classes.select("cls", "doc_id").join(links.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("cls", "component_id")
-    full = whole.select("doc_id", "h", "n", "cls").join(named, "cls")
-    empty = rows.where("cls is null or doc_id is null").select("doc_id", "h", "n", "cls", F.col("doc_id").alias("component_id"))
-    out = full.select("doc_id", "h", "n", "cls", "component_id").unionByName(empty)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "h", "cls")
+    with Scratch(docs.sparkSession) as cut:
+        rows = cut(sketches(docs, size))
+        whole = rows.where("cls is not null and doc_id is not null")
+        classes = cut(whole.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+        edges = cut(candidate_edges(classes.select("cls", "sig"), trees, leaf, levels, cut).distinct())
+        groups = components(edges)
+        groups = classes.join(groups.withColumnRenamed("node", "cls").withColumnRenamed("root", "grp"), "cls").select("cls", "grp", "doc_id", "n")
+        links = linked_classes(docs, cut(groups), size, percent, cut)
+        named = cut(classes.select("cls", "doc_id").join(links.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+        least = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # written: a root of very many classes can then be split in the join
+        named = cut(named.join(least, "root").select("cls", "component_id"))
+        full = whole.select("doc_id", "h", "n", "cls").join(named, "cls")
+        empty = rows.where("cls is null or doc_id is null").select("doc_id", "h", "n", "cls", F.col("doc_id").alias("component_id"))
+        out = full.select("doc_id", "h", "n", "cls", "component_id").unionByName(empty)
+        return keep(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "h", "cls"))
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, all columns, with one document of each component: the one of smallest id,
-    and of rows equal in id and text one."""
-    found = cut(near_duplicates(docs, size, percent).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "kept"))
+    """``docs``, all columns, with one document of each component: the one of smallest id. Of rows
+    equal in id and text one stays, that of the least hash of all its columns. Rows without an id stay."""
+    found = near_duplicates(docs, size, percent).where("doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "kept")
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64("text"))
-    gone = found.where("not kept").select("__id", "__h").distinct()  # rows without an id are kept
-    out = keyed.join(gone, ["__id", "__h"], "left_anti")
-    if not found.where("kept").groupBy("__id", "__h").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["__id", "__h"])
+    out = keyed.join(found.where("not kept").select("__id", "__h").distinct(), ["__id", "__h"], "left_anti")
+    twice = keep(found.where("kept").groupBy("__id", "__h").count().where("count > 1").select("__id", "__h"))
+    if not twice.isEmpty():
+        order = Window.partitionBy("__id", "__h").orderBy(F.xxhash64(*docs.columns))
+        one = out.join(twice, ["__id", "__h"], "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+        out = out.join(twice, ["__id", "__h"], "left_anti").unionByName(one)
     return out.drop("__id", "__h")

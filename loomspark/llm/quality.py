@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, buffers, chunks, rolling
+from .common import Words, buffers, chunks, sequence_names
 
 MAX_LINES = 64
 _CLASS = np.full(256, 9, np.int64)
@@ -63,7 +63,7 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(h) > 2:
         same = np.flatnonzero((h[1:] == h[:-1]) & (at[1:] == at[:-1])) + 1
         again = np.bincount(at[same], minlength=n)[:n].astype(float)
-    whole = rolling(h, np.searchsorted(at, np.arange(n)), np.searchsorted(at, np.arange(n), "right"), 0x9E3779B97F4A7C15 | 3) if n else np.zeros(0, np.uint64)
+    whole = sequence_names(h, np.searchsorted(at, np.arange(n)), np.searchsorted(at, np.arange(n), "right"))[:, 0] if n else np.zeros(0, np.uint64)
     doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[first, n]))
     by = np.lexsort((whole, doc))
     twin = np.r_[False, (whole[by][1:] == whole[by][:-1]) & (doc[by][1:] == doc[by][:-1])] if n else np.zeros(0, bool)

@@ -21,7 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import keep
 
 KEY_BITS, ROW_BITS = 28, 32
 BITS = KEY_BITS + ROW_BITS
@@ -74,7 +74,7 @@ def shard_ids(docs: DataFrame, limit: int = 64 << 20, keys: tuple[str, ...] = ("
         oversized = leaves.where("depth is null").select("idx")
         if oversized.isEmpty():
             return out
-        rows = cut(rows.withColumn("idx", _prefix(F.col("h"), high)).join(oversized, "idx", "left_semi").drop("idx"))
+        rows = keep(rows.withColumn("idx", _prefix(F.col("h"), high)).join(oversized, "idx", "left_semi").drop("idx"))
         if high == BITS:
             return out.unionByName(_pages(rows, limit))
         low, high = high + 1, min(BITS, high + 3 * slack)

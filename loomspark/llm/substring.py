@@ -1,6 +1,7 @@
 """Removal of passages that repeat across documents (operator 5).
 
-Every window of ``size`` words gets a Rabin-Karp hash (64 bits) on the executors.
+Every window of ``size`` words gets two Rabin-Karp hashes (modulo 2**61 - 1, independent
+bases) on the executors; a window's name is 61 bits of the first and 32 of the second.
 Windows meet in buckets of the hash space: each block of documents sends every
 bucket one packed row, in which a window that repeats inside the block is already
 settled, so a window that a third of all documents share costs one entry a block.
@@ -9,8 +10,8 @@ that also start in a document of smaller id. Windows merge into maximal interval
 
 Defined results: null texts have no words; rows with a null ``doc_id`` neither
 lend nor lose words; equal ids are one document; repeated rows get the same
-result each; other columns are left alone. Two different windows get one hash
-with a chance of 2**-64 a pair.
+result each; other columns are left alone. Two different windows get one name with a
+chance of about ``size`` squared times 2**-93 a pair, whatever their words are.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, chunks, window_hashes
+from .common import Words, chunks, packed_texts, unpacked, window_hashes
 
 SEED = 50_001
-SENT = "bucket int, block long, hashes binary, at binary, doc binary, ids binary, first binary, keys binary"
+SENT = "bucket int, block long, hashes binary, more binary, at binary, counts binary, ids binary, first binary, keys binary"
 INTERVALS = "doc_id long, h long, starts array<int>, ends array<int>"
 
 
@@ -39,28 +40,38 @@ def _unplanes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
+def _alike(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which windows of one name stand together (in their order), and where each name begins in it."""
+    by = np.argsort(h, kind="stable")
+    new, other = h[by][1:] != h[by][:-1], more[by][1:] != more[by][:-1]
+    if (~new & other).any():
+        by = np.lexsort((more, h))
+        new, other = h[by][1:] != h[by][:-1], more[by][1:] != more[by][:-1]
+    return by, np.flatnonzero(np.r_[True, new | other]) if len(h) else by
+
+
 def _marked(table: pa.Table, size: int, bits: int, block: int):
     """One row for each bucket, and one (bucket -1 - block) with what is settled within the block."""
     ids = np.asarray(table["doc_id"])
     order = np.argsort(ids, kind="stable")
     ids, keys = ids[order], np.asarray(table["h"])[order]
     words = Words(table["text"].combine_chunks().take(pa.array(order)))
-    at, h = window_hashes(words, size, SEED)
+    at, h, more = window_hashes(words, size, SEED)
+    more = (more >> np.uint64(32)).astype(np.uint32)
     doc = words.doc[at] if len(at) else np.zeros(0, np.int64)
-    by = np.argsort(h, kind="stable")
-    same = np.flatnonzero(np.r_[True, h[by][1:] != h[by][:-1]]) if len(h) else np.zeros(0, np.int64)
+    by, same = _alike(h, more)
     least = np.empty(len(h), np.int64)
     least[by] = np.repeat(ids[doc[by[same]]], np.diff(np.r_[same, len(h)]))
     settled = ids[doc] > least if len(h) else np.zeros(0, bool)
-    yield -1, at[settled].astype(np.uint32), None, None, ids, words.first.astype(np.uint32), keys
-    at, h, doc = at[~settled], h[~settled], doc[~settled]
-    bucket = (h >> np.uint64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(h), np.uint16)
+    yield -1, at[settled].astype(np.uint32), None, None, None, ids, words.first.astype(np.uint32), keys
+    at, h, more, doc = at[~settled].astype(np.uint32), h[~settled], more[~settled], doc[~settled]
+    bucket = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32) if bits else np.zeros(len(h), np.uint16)
     by = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[by], np.arange(2**bits + 1))
-    for k in np.flatnonzero(np.diff(edges)):
-        take = by[edges[k] : edges[k + 1]]
-        own, local = np.unique(doc[take], return_inverse=True)
-        yield int(k), at[take].astype(np.uint32), h[take], local.astype(np.uint32), ids[own], None, None
+    begin = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1]]) if len(by) else by
+    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(by)], strict=False):
+        take = by[i:j]  # ascending in at and so in doc
+        own, counts = np.unique(doc[take], return_counts=True)
+        yield int(bucket[take[0]]), np.diff(at[take], prepend=np.uint32(0)), h[take], more[take], counts.astype(np.uint32), ids[own], None, None
 
 
 def _send(size: int, bits: int, block_bytes: int):
@@ -73,8 +84,9 @@ def _send(size: int, bits: int, block_bytes: int):
             pack = lambda i: [None if r[i] is None else _planes(r[i]) for r in rows]
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] if r[0] >= 0 else block % 2**bits for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
-                pa.array([None if r[2] is None else r[2].tobytes() for r in rows], pa.binary()), pa.array(pack(1), pa.binary()), pa.array(pack(3), pa.binary()), pa.array(pack(4), pa.binary()), pa.array(pack(5), pa.binary()), pa.array(pack(6), pa.binary()),
-            ], ["bucket", "block", "hashes", "at", "doc", "ids", "first", "keys"])
+                *(pa.array([None if r[i] is None else r[i].tobytes() for r in rows], pa.binary()) for i in (2, 3)),
+                *(pa.array(pack(i), pa.binary()) for i in (1, 4, 5, 6, 7)),
+            ], ["bucket", "block", "hashes", "more", "at", "counts", "ids", "first", "keys"])
 
     return run
 
@@ -88,16 +100,15 @@ def _count(table: pa.Table) -> pa.Table:
     sent = [r for r in rows if r["first"] is None]
     out = [{k: r[k] for k in ("block", "at", "ids", "first", "keys")} for r in rows if r["first"] is not None]
     if sent:
-        h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in sent])
-        doc = np.concatenate([_unplanes(r["ids"], np.int64)[_unplanes(r["doc"], np.uint32)] for r in sent])
-        by = np.argsort(h, kind="stable")
-        same = np.flatnonzero(np.r_[True, h[by][1:] != h[by][:-1]])
+        h, more = (np.concatenate([np.frombuffer(r[c], t) for r in sent]) for c, t in (("hashes", np.uint64), ("more", np.uint32)))
+        doc = np.concatenate([np.repeat(_unplanes(r["ids"], np.int64), _unplanes(r["counts"], np.uint32)) for r in sent])
+        by, same = _alike(h, more)
         least = np.repeat(np.minimum.reduceat(doc[by], same), np.diff(np.r_[same, len(h)]))
         gone = np.zeros(len(h), bool)
         gone[by] = doc[by] > least
         begin = 0
         for r in sent:
-            at = _unplanes(r["at"], np.uint32)
+            at = np.cumsum(_unplanes(r["at"], np.uint32), dtype=np.uint32)
             if (at := at[gone[begin : (begin := begin + len(at))]]).size:
                 out.append({"block": r["block"], "at": _planes(at), "ids": None, "first": None, "keys": None})
     return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("at", "ids", "first", "keys"))]))
@@ -123,26 +134,30 @@ def _merge(size: int):
     return run
 
 
-def repeated_intervals(docs: DataFrame, size: int = 50, bucket_bytes: int = 6 << 20, block_bytes: int = 2 << 20) -> DataFrame:
+def repeated_intervals(docs: DataFrame, size: int = 50, bucket_bytes: int = 6 << 20, block_bytes: int = 2 << 20, most_block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, h, starts, ends): maximal runs of words to remove; ``h`` is ``xxhash64(text)``.
 
     ``bucket_bytes``: about as many bytes of text meet in one bucket, so a
-    bucket's memory stays the same at any size of the corpus.
+    bucket's memory stays the same at any size of the corpus. Blocks of ``block_bytes``
+    grow with the number of buckets up to ``most_block_bytes``, so that a packed row holds
+    many windows; a block sends a bucket nothing where it has no window for it, so beyond
+    that size rows are as many as windows at most.
     """
     if size < 1:
         raise ValueError("size must be at least 1")
     spread = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = spread.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    bits = min(16, max(0, int(np.ceil(np.log2(max(1, total / bucket_bytes))))))
-    sent = spread.withColumn("h", F.xxhash64("text")).mapInArrow(_send(size, bits, block_bytes), SENT)
+    bits = min(30, max(0, int(np.ceil(np.log2(max(1, total / bucket_bytes))))))
+    block = max(block_bytes, min(most_block_bytes, 2**bits * 4096))
+    sent = spread.withColumn("h", F.xxhash64("text")).mapInArrow(_send(size, bits, block), SENT)
     answers = sent.groupBy("bucket").applyInArrow(_count, ANSWER)
     return answers.groupBy("block").applyInArrow(_merge(size), INTERVALS).dropDuplicates(["doc_id", "h"])
 
 
 def _kept(batches):
-    for batch in batches:
+    for table in chunks(batches, 2 << 20):
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
-        for doc_id, text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts", "ends")), strict=True):
+        for doc_id, text, starts, ends in zip(table["doc_id"].to_pylist(), unpacked(table["text"].to_pylist()), table["starts"].to_pylist(), table["ends"].to_pylist(), strict=True):
             words = (text or "").encode().split()
             n = len(words)
             for s, e in zip(reversed(starts or ()), reversed(ends or ()), strict=True):
@@ -155,9 +170,9 @@ def _kept(batches):
 
 
 def with_intervals(docs: DataFrame, size: int = 50) -> DataFrame:
-    """(doc_id, text, starts, ends) for each row of ``docs``."""
+    """(doc_id, text, starts, ends) for each row of ``docs``; texts are packed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
-    return docs.join(repeated_intervals(docs, size), ["doc_id", "h"], "left").select("doc_id", "text", "starts", "ends")
+    return packed_texts(docs).join(repeated_intervals(docs, size), ["doc_id", "h"], "left").select("doc_id", "text", "starts", "ends")
 
 
 def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:

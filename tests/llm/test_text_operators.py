@@ -237,3 +237,15 @@ def test_decontamination_of_many_short_items(frame, spark):
     assert {(r.doc_id, r.item_id, r.edits) for r in found} == {(d, i, 0) for d, i in enumerate(held)}
     kept = decontam.without_contaminated(frame(texts), spark.createDataFrame(items, "item_id long, text string"))
     assert [r.doc_id for r in kept.collect()] == [len(held)]
+
+
+def test_windows_that_polynomials_modulo_2_64_confuse(frame):
+    s = "a"
+    for _ in range(11):
+        s += s.translate(str.maketrans("ab", "ba"))
+    t = s.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(49))
+    got = {r.doc_id: r.n_removed for r in substring.substring_digest(frame([f"{s} {tail}", f"{t} {tail}", f"{s} {tail} more"]), 50).collect()}
+    assert got == {0: 0, 1: 0, 2: 50}
+    wide = {r.doc_id: r.n_removed for r in substring.substring_digest(frame([" ".join(s), " ".join(t)]), len(s)).collect()}
+    assert wide == {0: 0, 1: 0}
