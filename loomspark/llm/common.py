@@ -64,7 +64,7 @@ class Scratch:
     def __call__(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back: its lineage ends there."""
         self.tables += 1
-        df.write.option("compression", "zstd").parquet(f"{self.folder}/{self.tables}")
+        df.write.parquet(f"{self.folder}/{self.tables}")
         out = self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.tables}")
         out.scratch_table = self.tables
         return out

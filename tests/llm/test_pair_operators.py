@@ -166,6 +166,16 @@ def test_edit_distance():
         a, b = (bytes(rng.choices(b"abc", k=rng.randint(0, 14))) for _ in range(2))
         assert lines.edit_distance(a, b, 99) == levenshtein(a, b)
         assert (lines.edit_distance(a, b, 3) <= 3) == (levenshtein(a, b) <= 3)
+        assert lines.within(a, b, 3) == (levenshtein(a, b) <= 3) and lines.aligned(a, b, 99) >= levenshtein(a, b)
+    for _ in range(200):
+        a = bytes(rng.choices(b"abcdefgh ", k=rng.randint(60, 300)))
+        b = bytearray(a)
+        for _ in range(rng.randint(0, 12)):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randint(0, 9)] = bytes(rng.choices(b"abcdefgh ", k=rng.randint(0, 9)))
+        d = levenshtein(a, bytes(b))
+        assert lines.aligned(a, bytes(b), 10**6) >= d and lines.edit_distance(a, bytes(b), 10**6) == d
+        assert lines.within(a, bytes(b), len(a) // 5) == (d <= len(a) // 5)
 
 
 def gone_lines(docs, min_words=3, percent=80):
