@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import ann, bpe, decontam, lines, neardup, quality, secrets, sharding, substring, tokenids
 from .common import documents
 
-SHARD_BYTES = 64 << 20
+#: Small shards, about the size of a row group, so that tables of any size split to uneven depths.
+SHARD_BYTES = 128 << 10
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

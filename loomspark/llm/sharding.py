@@ -87,14 +87,16 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     return _named(each, F.floor(F.col("i") / per))
 
 
-def oracle(limit: int, depth: int = 40) -> str:
-    """DuckDB SQL of :func:`shard_ids` with the key doc_id, for tables that need at most ``depth`` bits."""
+def oracle(limit: int) -> str:
+    """DuckDB SQL of :func:`shard_ids` with the key doc_id, overflow pages included."""
     return f"""
 WITH r AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes FROM documents),
-h AS (SELECT doc_id, n_bytes, CAST('0x' || substr(md5('v' || doc_id), 1, {KEY_BITS // 4}) AS BIGINT) * {1 << ROW_BITS}
+h AS (SELECT doc_id, n_bytes, row_number() OVER (PARTITION BY doc_id, n_bytes) - 1 AS i, CAST('0x' || substr(md5('v' || doc_id), 1, {KEY_BITS // 4}) AS BIGINT) * {1 << ROW_BITS}
              + CAST('0x' || substr(md5('v' || doc_id || '|v' || n_bytes), 1, {ROW_BITS // 4}) AS BIGINT) AS h FROM r),
-l AS (SELECT doc_id, n_bytes, h, d, h >> ({BITS} - d) AS p FROM h, (SELECT unnest(range(0, {depth + 1})) AS d)),
+l AS (SELECT doc_id, n_bytes, i, h, d, h >> ({BITS} - d) AS p FROM h, (SELECT unnest(range(0, {BITS + 1})) AS d)),
 s AS (SELECT *, sum(n_bytes) OVER (PARTITION BY d, p) AS held FROM l),
-f AS (SELECT doc_id, n_bytes, h, min(d) AS depth FROM s WHERE held <= {limit} GROUP BY doc_id, n_bytes, h)
-SELECT doc_id, n_bytes, substr(lpad(bin(h), {BITS}, '0'), 1, CAST(depth AS INTEGER)) AS shard, CAST(depth AS BIGINT) AS depth FROM f
+f AS (SELECT doc_id, n_bytes, i, h, min(d) FILTER (held <= {limit}) AS fits FROM s GROUP BY doc_id, n_bytes, i, h)
+SELECT doc_id, n_bytes, CAST(coalesce(fits, {BITS}) AS BIGINT) AS depth,
+       substr(lpad(bin(h), {BITS}, '0'), 1, CAST(coalesce(fits, {BITS}) AS INTEGER))
+       || CASE WHEN fits IS NULL THEN '.' || CAST(i // greatest(1, {limit} // greatest(n_bytes, 1)) AS BIGINT) ELSE '' END AS shard FROM f
 """
