@@ -1,12 +1,18 @@
 """Nearest neighbours by a forest of random-projection trees (operator 9).
 
-A tree splits by hyperplanes at the median of a bounded sample's projections; all
-nodes of one level share their level's projection, so a tree is ``depth`` vectors
-and ``2**depth`` thresholds. Every row is put into a leaf of each tree. A query
-walks all trees through one priority queue: the side of a split that it lies on
-costs nothing, the other side its distance to the plane, and the cheapest node of
-any tree is opened next, until the leaves hold ``search`` rows. Rows of these
-leaves are scored exactly, in double precision, and merged.
+Every node of a tree has a hyperplane of its own (one of a pool of random orthonormal
+vectors, named by the node's number) at the median of a bounded sample's projections;
+depth follows the number of rows as far as the sample carries it. Every row is put into
+a leaf of each tree. A query walks all trees through one priority queue: the side of a
+split that it lies on costs nothing, the other side its distance to the plane, and the
+cheapest node of any tree is opened next. Rows of the opened leaves are scored by a matrix
+product, and those that may be among the nearest again exactly, in double precision.
+
+How many leaves a query opens is measured, not set: a bounded sample of rows gets its
+true neighbours by one pass over all rows, and as many leaves are opened as find
+``target`` of them. So clustered vectors cost a few leaves a query whatever the size of
+the table, and vectors without structure (isotropic ones in many dimensions, for which
+no tree can narrow the search) cost a large share of it, but keep their recall.
 
 A leaf with very many rows (equal vectors fall into one leaf) is dealt out in
 slices, each of which returns its own best, so no task holds a leaf of any size.
@@ -14,8 +20,8 @@ slices, each of which returns its own best, so no task holds a leaf of any size.
 Defined results: vectors that are null, zero, of another length than the most
 common one, or that hold nulls or values that aren't finite take no part, as query
 or candidate; ties go to the smaller id; a query with fewer candidates than ``k``
-gets all; repeated ids are one candidate for each distinct vector; other columns
-are left alone.
+gets all that are found (all of them in a table of one leaf); repeated ids are one
+candidate for each distinct vector; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -26,7 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-MAX_DEPTH = 16
+from .common import Scratch, keep, mix
+
+#: Planes in the pool, and rows of the sample that a node must have to be split.
+PLANES, SPLIT = 256, 16
 
 
 class Forest:
@@ -34,46 +43,54 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, trees: int, depth: int, seed: int = 9):
         rng = np.random.default_rng(seed)
-        self.depth, self.trees = depth, []
-        for _ in range(trees):
-            planes, _r = np.linalg.qr(rng.standard_normal((sample.shape[1], sample.shape[1])))
-            planes = planes.T[np.arange(depth) % sample.shape[1]]
-            cuts = np.zeros(2**depth)  # a heap: node i has children 2i and 2i + 1
-            node = np.ones(len(sample), np.int64)
+        n, d = sample.shape if sample.ndim == 2 and sample.size else (0, 1)
+        self.planes = np.concatenate([np.linalg.qr(rng.standard_normal((d, d)))[0].T for _ in range(-(-PLANES // d))])[:PLANES]
+        self.trees, self.depth = trees, depth
+        #: Of each tree a heap of nodes (node i has the children 2i and 2i + 1): its plane and where it cuts.
+        self.plane = (mix(np.arange(trees * 2**depth, dtype=np.uint64) + np.uint64(seed << 40)) % np.uint64(len(self.planes))).astype(np.int64).reshape(trees, -1)
+        self.cut = np.zeros((trees, 2**depth))
+        projected = sample @ self.planes.T if n else np.zeros((0, len(self.planes)))
+        for tree in range(trees):
+            node = np.ones(n, np.int64)
             for level in range(depth):
-                x = sample @ planes[level]
+                x = projected[np.arange(n), self.plane[tree][node]]
                 order = np.lexsort((x, node))
                 first = np.searchsorted(node[order], np.arange(2**level, 2 ** (level + 1) + 1))
-                middle = np.minimum((first[:-1] + first[1:]) // 2, len(sample) - 1)
-                cuts[2**level : 2 ** (level + 1)] = x[order][middle]
-                node = 2 * node + (x >= cuts[node])
-            self.trees.append((planes, cuts))
-        self.held: np.ndarray | None = None  # rows of each leaf, estimated from the sample
+                middle = np.minimum((first[:-1] + first[1:]) // 2, max(n - 1, 0))
+                self.cut[tree, 2**level : 2 ** (level + 1)] = x[order][middle]
+                node = 2 * node + (x >= self.cut[tree][node])
+
+    @property
+    def n_leaves(self) -> int:
+        return self.trees * 2**self.depth
 
     def leaves(self, rows: np.ndarray) -> np.ndarray:
-        """The leaf of each row in each tree: (rows, trees)."""
-        out = []
-        for planes, cuts in self.trees:
+        """The leaf of each row in each tree, numbered over all trees: (rows, trees)."""
+        out = np.zeros((len(rows), self.trees), np.int64)
+        if not len(rows):
+            return out
+        projected, at = rows @ self.planes.T, np.arange(len(rows))
+        for tree in range(self.trees):
             node = np.ones(len(rows), np.int64)
-            for level in range(self.depth):
-                node = 2 * node + (rows @ planes[level] >= cuts[node])
-            out.append(node - 2**self.depth)
-        return np.stack(out, axis=1) if out else np.zeros((len(rows), 0), np.int64)
-
-    def route(self, query: np.ndarray, n_leaves: int) -> list[tuple[int, int]]:
-        """(tree, leaf) of the ``n_leaves`` leaves that come first in the shared queue."""
-        x = [planes @ query for planes, _ in self.trees]
-        queue = [(0.0, t, 1, 0) for t in range(len(self.trees))]
-        found = []
+            for _ in range(self.depth):
+                node = 2 * node + (projected[at, self.plane[tree][node]] >= self.cut[tree][node])
+            out[:, tree] = node - 2**self.depth + tree * 2**self.depth
+        return out
+
+    def route(self, query: np.ndarray, n_leaves: int) -> list[int]:
+        """The ``n_leaves`` leaves that come first in the queue that all trees share."""
+        gaps = (self.planes @ query)[self.plane] - self.cut
+        queue = [(0.0, tree, 1) for tree in range(self.trees)]
+        found, end = [], 2**self.depth
+        gaps = gaps.tolist()
         while queue and len(found) < n_leaves:
-            cost, tree, node, level = heapq.heappop(queue)
-            cuts = self.trees[tree][1]
-            while level < self.depth:
-                gap = x[tree][level] - cuts[node]
-                side = int(gap >= 0)
-                heapq.heappush(queue, (max(cost, abs(gap)), tree, 2 * node + 1 - side, level + 1))
-                node, level = 2 * node + side, level + 1
-            found.append((tree, node - 2**self.depth))
+            cost, tree, node = heapq.heappop(queue)
+            while node < end:
+                gap = gaps[tree][node]
+                side = gap >= 0
+                heapq.heappush(queue, (max(cost, abs(gap)), tree, 2 * node + 1 - side))
+                node = 2 * node + side
+            found.append(node - end + tree * end)
         return found
 
 
@@ -84,7 +101,13 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square overflows or vanishes; cosines stay what they are."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None]) if len(m) else m
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
+    m = _scaled(m)
     return m / np.sqrt((m * m).sum(axis=1))[:, None] if len(m) else m
 
 
@@ -99,67 +122,97 @@ def valid_vectors(table: DataFrame) -> DataFrame:
     return v.where(F.size("embedding") == (length["n"] if length else 0)).distinct()
 
 
-def nearest(table: DataFrame, is_query, k: int = 5, trees: int = 6, leaf: int = 64, opened: float = 0.18, least: int = 2000, sample: int = 20_000, slice_rows: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest by cosine found for each row where ``is_query``.
+def _best(ids: np.ndarray, rows: np.ndarray, q_ids: list[int], queries: np.ndarray, k: int):
+    """(query's id, id, cosine) of the ``k`` nearest of ``rows`` to each query, itself left out."""
+    rows, queries = _scaled(rows), _scaled(queries)
+    norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    near = (queries @ rows.T) / norms
+    for i, q_id in enumerate(q_ids):
+        near[i, ids == q_id] = -np.inf
+        near[i] /= (norm := np.sqrt(np.einsum("j,j->", queries[i], queries[i])))
+        last = np.partition(near[i], -k)[-k] if len(ids) > k else -np.inf
+        some = np.flatnonzero((near[i] >= last - 1e-9) & np.isfinite(near[i]))
+        cos = np.einsum("ij,j->i", rows[some], queries[i]) / (norms[some] * norm)
+        order = np.lexsort((ids[some], -cos))[:k]
+        yield from zip([q_id] * len(order), ids[some][order].tolist(), cos[order].tolist(), strict=True)
 
-    ``sample`` bounds the rows that the forest is fitted on (it also bounds the
-    depth; every row is indexed. ``share``: leaves' rows to score for a query, as
-    a share of all rows; isotropic vectors of 64 dimensions need about a third for
-    a recall over 0.9.
-    """
-    rows = valid_vectors(table)
-    n = rows.count()
-    spark = table.sparkSession
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    picked = rows.orderBy(F.xxhash64("vec_id", F.lit(9))).limit(sample).select("embedding").toArrow()
-    fitted = _unit(_matrix(picked["embedding"]))
-    depth = min(MAX_DEPTH, max(0, int(np.log2(len(fitted) / leaf)) if len(fitted) > leaf else 0))
-    forest = Forest(fitted, trees, depth)
-    wanted = min(trees * 2**depth, max(int(np.ceil(opened * trees * 2**depth)), trees * int(np.ceil(least * 2**depth / n))))
-    shared = spark.sparkContext.broadcast(forest)  # trees * (depth vectors and 2**depth numbers): bounded by sample
-
-    def place(batches):
-        for batch in batches:
-            at = shared.value.leaves(_unit(_matrix(batch.column("embedding"))))
-            trees_ = np.tile(np.arange(at.shape[1]), len(at))
-            take = pa.array(np.repeat(np.arange(len(at)), at.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(trees_ << 32 | at.ravel()), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["cell", "vec_id", "embedding"])
 
-    def route(batches):
-        for batch in batches:
-            m = _unit(_matrix(batch.column("embedding")))
-            cells, take = [], []
-            for i, q in enumerate(m):
-                got = shared.value.route(q, wanted)
-                cells += [t << 32 | x for t, x in got]
-                take += [i] * len(got)
-            take = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["cell", "vec_id", "embedding"])
-
-    schema = f"cell long, vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}"
-    placed = rows.mapInArrow(place, schema)
-    sizes = rows.mapInArrow(place, schema).groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
-    members = placed.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice"), "vec_id", "embedding")
-    queries = rows.where(is_query).mapInArrow(route, schema).join(sizes, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("cell", "slice", "vec_id", "embedding")
-
-    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, out = np.asarray(left["vec_id"]), {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            a, q_ids = _matrix(left["embedding"]), np.asarray(right["vec_id"])
-            norms = np.sqrt((a * a).sum(axis=1))
-            order = np.argsort(ids, kind="stable")
-            for q_id, q in zip(q_ids.tolist(), _matrix(right["embedding"]), strict=True):
-                cos = np.einsum("ij,j->i", a, q) / (norms * np.sqrt((q * q).sum()))
-                best = order[np.argsort(-cos[order], kind="stable")]
-                best = best[ids[best] != q_id][:k]
-                out["query_id"] += [q_id] * len(best)
-                out["vec_id"] += ids[best].tolist()
-                out["score"] += cos[best].tolist()
-        return pa.table(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-    found = members.groupBy("cell", "slice").cogroup(queries.groupBy("cell", "slice")).applyInArrow(score, "query_id long, vec_id long, score double")
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _found(rows) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+
+def fitted(rows: DataFrame, n: int, k: int = 5, trees: int = 6, leaf: int = 64, sample: int = 20_000, probes: int = 96, target: float = 0.96) -> tuple[Forest, int]:
+    """The forest, and the number of leaves that a query opens, from (vec_id, embedding).
+
+    ``sample`` rows fit the planes' cuts, and so bound the depth (every row is indexed). ``probes``
+    rows get their true neighbours by one pass over all rows; as many leaves are opened as find ``target`` of these."""
+    picked = rows.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(sample).toArrow()  # at most ``sample`` rows
+    vectors, ids = _unit(_matrix(picked["embedding"])), np.asarray(picked["vec_id"])
+    forest = Forest(vectors, trees, max(0, int(np.log2(max(1, min(n / leaf, len(vectors) / SPLIT))))))
+    if forest.depth == 0:
+        return forest, forest.n_leaves
+    asked, asked_ids = vectors[:probes], ids[:probes].tolist()
+    shared = rows.sparkSession.sparkContext.broadcast((asked_ids, asked))  # ``probes`` vectors
+
+    def exact(batches):
+        for batch in batches:
+            yield _found(_best(np.asarray(batch.column("vec_id")), _matrix(batch.column("embedding")), *shared.value, k))
+
+    true = _ranked(rows.mapInArrow(exact, "query_id long, vec_id long, score double"), k)
+    true = true.select("query_id", "vec_id").join(rows, "vec_id").select("query_id", "embedding").toArrow()  # probes * k rows
+    rank = {}
+    for q_id, q in zip(asked_ids, asked, strict=True):
+        rank[q_id] = np.empty(forest.n_leaves, np.int64)
+        rank[q_id][forest.route(q, forest.n_leaves)] = np.arange(forest.n_leaves)
+    needed = sorted(int(rank[q_id][at].min()) for q_id, at in zip(true["query_id"].to_pylist(), forest.leaves(_unit(_matrix(true["embedding"]))), strict=True))
+    return forest, needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))] + 1 if needed else forest.n_leaves
+
+
+def nearest(table: DataFrame, is_query, k: int = 5, slice_rows: int = 4096, **settings) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest by cosine found for each row where ``is_query``; ``settings`` of :func:`fitted`."""
+    spark = table.sparkSession
+    with Scratch(spark) as cut:
+        rows = cut(valid_vectors(table))
+        n = rows.count()
+        if not n:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        forest, opened = fitted(rows, n, k, **settings)
+        shared = spark.sparkContext.broadcast(forest)  # PLANES vectors and two numbers a node: bounded by the sample
+
+        def placed(cells):
+            def run(batches):
+                for batch in batches:
+                    at = [cells(m) for m in _unit(_matrix(batch.column("embedding")))] if cells else shared.value.leaves(_unit(_matrix(batch.column("embedding"))))
+                    take = pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at) if len(at) else [], pa.int64()), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["cell", "vec_id", "embedding"])
+
+            return run
+
+        schema = f"cell long, vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}"
+        members = rows.mapInArrow(placed(None), schema)
+        sizes = F.broadcast(cut(members.groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))))  # a row for each leaf: bounded by the sample
+        members = members.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice"), "vec_id", "embedding")
+        queries = rows.where(is_query).mapInArrow(placed(lambda q: shared.value.route(q, opened)), schema).join(sizes, "cell")
+        queries = queries.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("cell", "slice", "vec_id", "embedding")
+
+        def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            if not len(left) or not len(right):
+                return FOUND.empty_table()
+            ids, m, out = np.asarray(left["vec_id"]), _matrix(left["embedding"]), []
+            for i in range(0, len(right), 256):  # a block of queries against the slice
+                some = right.slice(i, 256)
+                out += _best(ids, m, some["vec_id"].to_pylist(), _matrix(some["embedding"]), k)
+            return pa.Table.from_batches([_found(out)])
+
+        found = members.groupBy("cell", "slice").cogroup(queries.groupBy("cell", "slice")).applyInArrow(score, "query_id long, vec_id long, score double")
+        return keep(_ranked(found, k))
