@@ -35,40 +35,36 @@ def pack(sizes: Iterable[int], budget: int, drop_oversized: bool = False) -> lis
     return out
 
 
-def _pieces(text: str, budget: int, delimiters: tuple[str, ...]) -> Iterator[str]:
-    """Parts within the budget, cut after the strongest delimiter that does it; hard cuts where none is left."""
-    if len(text) <= budget:
-        yield text
-        return
-    for k, d in enumerate(delimiters):
-        if d in text[:-1]:
-            parts = text.split(d)
-            whole = [p + d for p in parts[:-1]] + [parts[-1]]
-            for p in whole:
-                if p:
-                    yield from _pieces(p, budget, delimiters[k + 1 :])
-            return
-    for i in range(0, len(text), budget):
-        yield text[i : i + budget]
+def _segments(text: str, delimiters: tuple[str, ...]) -> Iterator[str]:
+    """Parts that end with a delimiter (of several at one place the longest), and the rest."""
+    ends = "|".join(map(re.escape, sorted(delimiters, key=len, reverse=True)))
+    begin = 0
+    for m in re.finditer(ends, text) if ends else ():
+        yield text[begin : m.end()]
+        begin = m.end()
+    yield text[begin:]
 
 
 def chunk_text(text: str | None, budget: int = DOCUMENT_CHARS, overlap: int = 0, headings: bool = True, delimiters: tuple[str, ...] = DELIMITERS) -> list[str]:
-    """Chunks of at most ``budget`` characters: headings always begin one, then the strongest delimiters."""
-    if not text or not text.strip():
-        return []
-    sections = re.split(r"(?m)^(?=#{1,6} )", text) if headings else [text]
-    out = []
-    for section in sections:
-        if not section.strip():
+    """Chunks of at most ``budget`` characters (and the overlap): headings of the first two levels begin one,
+    then segments fill chunks in order; a segment over the budget is cut by length, in chunks of its own."""
+    out: list[str] = []
+    for section in re.split(r"(?m)^(?=#{1,2}\s)", text or "") if headings else [text or ""]:
+        if len(section.strip()) <= budget:
+            out.append(section)
             continue
-        pieces = list(_pieces(section, budget, delimiters))
-        joined: dict[int, str] = {}
-        for piece, k in zip(pieces, pack(map(len, pieces), budget), strict=True):
-            joined[k] = joined.get(k, "") + piece
-        out += [c.strip() for c in joined.values() if c.strip()]
-    if overlap and len(out) > 1:
-        out = [out[0], *(a[-overlap:] + b for a, b in zip(out, out[1:], strict=False))]
-    return out
+        held = ""
+        for segment in filter(str.strip, _segments(section, delimiters)):
+            if len(segment) > budget:
+                out += [held, *(segment[i : i + budget] for i in range(0, len(segment), budget))]
+                held = ""
+            elif held and len(held) + len(segment) > budget:
+                out.append(held)
+                held = (held[-overlap:] if overlap else "") + segment
+            else:
+                held += segment
+        out.append(held)
+    return [c.strip() for c in out if c.strip()]
 
 
 def delimiters_of(spec: str) -> tuple[list[str], list[str]]:
@@ -141,13 +137,13 @@ def near_duplicates(items: list[dict], threshold: float = 0.9) -> list[dict]:
 
 
 def collapse_near_facts(items: DataFrame, key: str, threshold: float = 0.9, most: int = 64) -> DataFrame:
-    """R9 over the first ``most`` ranked items (key, rank, kind, text, confidence) of each question."""
+    """R9 over the first ``most`` ranked items (key, rank, kind, text, confidence) of each question; later ones pass as they are."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["rank"])
         return pa.Table.from_pylist(near_duplicates(rows, threshold), table.schema)
 
-    return items.where(F.col("rank") <= most).groupBy(key).applyInArrow(run, items.schema)
+    return items.where(F.col("rank") <= most).groupBy(key).applyInArrow(run, items.schema).unionByName(items.where(F.col("rank") > most))
 
 
 def pack_batches(df: DataFrame, key: str, order: str, size: str, budget: int, drop_oversized: bool = True) -> DataFrame:
@@ -192,28 +188,66 @@ def slice_sessions(df: DataFrame, keys: list[str], order: list[str], text: str,
 
 # ---------------------------------------------------------------- stems
 
-_VOWEL = "aeiou"
+# The suffixes of Porter's algorithm (1980), by step.
+STEP_2 = "ational ate tional tion enci ence anci ance izer ize abli able alli al entli ent eli e ousli ous ization ize ation ate ator ate alism al iveness ive fulness ful ousness ous aliti al iviti ive biliti ble".split()
+STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+
+
+def _shape(w: str) -> str:
+    """A word's letters as v (vowels) and c (consonants); y after a consonant is a vowel."""
+    out = ""
+    for ch in w:
+        out += "v" if ch in "aeiou" or ch == "y" and out.endswith("c") else "c"
+    return out
+
+
+def _measure(w: str) -> int:
+    return len(re.findall("v+c+", _shape(w)))
+
+
+def _short(w: str) -> bool:
+    """Whether a word ends consonant, vowel, consonant other than w, x and y."""
+    return _shape(w).endswith("cvc") and w[-1] not in "wxy"
+
+
+def _doubled(w: str) -> bool:
+    return len(w) > 1 and w[-1] == w[-2] and _shape(w)[-1] == "c"
+
+
+def _swap(w: str, table: dict[str, str]) -> str:
+    """The longest suffix of the table gives way if what stands before it has a measure."""
+    end = next((e for e in sorted(table, key=len, reverse=True) if w.endswith(e)), None)
+    return w[: -len(end)] + table[end] if end and _measure(w[: -len(end)]) > 0 else w
 
 
 def stem(word: str) -> str:
-    """A short suffix stripper in the manner of Porter's first steps: plurals, -ed, -ing, -ly, -ness, -ment and final y."""
+    """Porter's stem of a word of small letters."""
     w = word
-    if len(w) <= 3:
+    if len(w) <= 2:
         return w
     for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
         if w.endswith(end):
             w = w[: len(w) - len(end)] + new
             break
-    for end in ("edly", "ingly", "ed", "ing"):
-        root = w.removesuffix(end)
-        if root != w and any(c in _VOWEL for c in root):
-            w = root + "e" if root.endswith(("at", "bl", "iz")) else root[:-1] if len(root) > 2 and root[-1] == root[-2] and root[-1] not in "lsz" else root
-            break
-    for end in ("fulness", "ousness", "ness", "ment", "ly"):
-        if w.endswith(end) and len(w) - len(end) > 2:
-            w = w.removesuffix(end)
-            break
-    return w[:-1] + "i" if w.endswith("y") and any(c in _VOWEL for c in w[:-1]) else w
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    else:
+        root = next((w[: -len(e)] for e in ("ed", "ing") if w.endswith(e)), None)
+        if root is not None and "v" in _shape(root):
+            w = root + "e" if root.endswith(("at", "bl", "iz")) or _measure(root) == 1 and _short(root) else root[:-1] if _doubled(root) and root[-1] not in "lsz" else root
+    if w.endswith("y") and "v" in _shape(w[:-1]):
+        w = w[:-1] + "i"
+    w = _swap(w, dict(zip(STEP_2[::2], STEP_2[1::2], strict=True)))
+    w = _swap(w, STEP_3)
+    end = next((e for e in sorted(STEP_4, key=len, reverse=True) if w.endswith(e)), None)
+    if end:
+        root = w[: -len(end)]
+        if _measure(root) > 1 and (end != "ion" or root.endswith(("s", "t"))):
+            w = root
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not _short(w[:-1])):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
 @F.pandas_udf(STRINGS)
@@ -288,13 +322,14 @@ def read_payload(raw: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.StructType([T.StructField("subject", T.StringType()), T.StructField("object", T.StringType()), T.StructField("involved", STRINGS)]))
 def participants(raw: pd.Series) -> pd.DataFrame:
-    """Subject and object of a fact given as JSON; of lists the first scalar counts, the others are involved."""
+    """Subject and object of a fact given as JSON. Names are strings: of a list the first one counts and the
+    others are involved; any other value is none. ``involved`` is taken from a list only."""
 
     def one(v):
-        if isinstance(v, list):
-            flat = [str(x) for x in v if isinstance(x, (str, int, float)) and not isinstance(x, bool) and str(x).strip()]
-            return (flat[0] if flat else None), flat[1:]
-        return (str(v) if isinstance(v, (str, int, float)) and not isinstance(v, bool) and str(v).strip() else None), []
+        if isinstance(v, str):
+            return v, []
+        names = [x for x in v if isinstance(x, str) and x.strip()] if isinstance(v, list) else []
+        return (names[0] if names else None), names[1:]
 
     rows = []
     for r in raw:
@@ -303,8 +338,12 @@ def participants(raw: pd.Series) -> pd.DataFrame:
         except ValueError:
             v = {}
         v = v if isinstance(v, dict) else {}
-        (s, more), (o, rest), (first, named) = one(v.get("subject")), one(v.get("object")), one(v.get("involved"))
-        rows.append((s, o, list(dict.fromkeys([*([first] if first else []), *named, *more, *rest]))))
+        (s, more), (o, rest) = one(v.get("subject")), one(v.get("object"))
+        named = [x for x in v["involved"] if isinstance(x, str)] if isinstance(v.get("involved"), list) else []
+        for x in (*more, *rest):
+            if x not in named:
+                named.append(x)
+        rows.append((s, o, named))
     return pd.DataFrame(rows, columns=["subject", "object", "involved"])
 
 

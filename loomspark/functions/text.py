@@ -159,14 +159,20 @@ def facets_similar(a: Column | str, b: Column | str, least_ratio: float = 0.5, l
 # ---------------------------------------------------------------- names, mentions, types
 
 
+# Marks that end a mention, and mentions of everyone.
+MARKS = "，。！？：、,.!?:；;"
+BROADCASTS = ("所有人", "全体成员", "全体", "all", "here", "everyone", "channel")
+
+
 def clean_mention(name: Column | str) -> Column:
-    """Without ``@`` and trailing punctuation; null for broadcasts and media ids."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(col(name)), r"^@+", ""), r"[\s\p{Punct}，。！？：；、]+$", "")
-    return F.when((t == "") | F.lower(t).isin("all", "everyone", "here", "所有人", "全体成员") | is_media_id(t), F.lit(None)).otherwise(t)
+    """Without a leading ``@`` and trailing punctuation; null for broadcasts and media ids."""
+    t = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(col(name)), "^@", "")), f"[{MARKS}]+$", ""))
+    return F.when((t == "") | F.lower(t).isin(*BROADCASTS) | is_media_id(t), F.lit(None)).otherwise(t)
 
 
 def is_media_id(text: Column) -> Column:
-    return text.rlike(r"^[@$][A-Za-z0-9_=+/-]{16,}$|^(mediaId|fileId)=|^l[A-Za-z0-9_-]{24,}$")
+    """Whether a name is an opaque id: a known prefix, or a long run of mixed letters and digits without separators."""
+    return ~text.rlike("[\u4e00-\u9fff]") & text.rlike(r"^l[QA][A-Za-z0-9_-]{18,}$|^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9]{20,}$")
 
 
 def media_ids(text: Column | str) -> Column:

@@ -65,12 +65,12 @@ class Graph:
 
     def pagerank(self, most: int = 20) -> DataFrame:
         links = self.about.join(self.facts.select("fact", "confidence"), "fact")
-        edges = gr.co_participation(links, "fact", "entity", F.col("confidence"), gr.HUB).select("a", "b", "weight")
+        edges = gr.co_participation(links, "fact", "entity", F.col("confidence")).select("a", "b", "weight")
         return gr.pagerank(edges, most=most).select(F.col("node").alias("entity"), "rank")
 
 
-def ask(spark: SparkSession, g: Graph, question: str, intent: Intent | None = None, top: int = 30, scorer=None, answer: Callable[[str], str] | None = None) -> dict:
-    """Ranked items, the walk around matched entities, confidence and, with a model, an answer.
+def ask(spark: SparkSession, g: Graph, question: str, intent: Intent | None = None, top: int = 30, scorer=None, answer: Callable[[str], str] | None = None, radius: int = 0) -> dict:
+    """Ranked items, with ``radius`` the walk around matched entities, confidence and, with a model, an answer.
 
     Lists: BM25 over chunks and over facts, and the expansion of matched entities; fused by
     reciprocal ranks, exact duplicates collapsed, near facts collapsed, re-ranked.
@@ -95,8 +95,11 @@ def ask(spark: SparkSession, g: Graph, question: str, intent: Intent | None = No
     texts = g.chunks.select(F.col("chunk").cast("string").alias("item"), F.lit("chunk").alias("kind"), "text", F.lit(None).cast("double").alias("confidence")).unionByName(g.facts.select(F.col("fact").cast("string").alias("item"), F.lit("fact").alias("kind"), "text", "confidence"))
     items = rt.collapse_duplicates(fused.join(texts, ["item", "kind"]), ["query"], "item", "text", "kind")
     kept = rt.rerank(py.collapse_near_facts(items, "query"), scorer, top)
-    adj = gr.adjacency(g.about, "fact", "entity") if g.about.schema["fact"].dataType == g.about.schema["entity"].dataType else None
-    walk = None if adj is None else gr.walk(adj, matched.select(F.col("entity").alias("node"), F.col("sim").alias("score")).limit(6), rank.select(F.col("entity").alias("node"), F.col("rank").alias("importance")), radius=1)
+    walk = None
+    if radius:  # nodes are named by kind and id: a fact and an entity may have the same number
+        node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+        adj = gr.adjacency(g.about.select(node("fact", "fact").alias("fact"), node("entity", "entity").alias("entity")), "fact", "entity")
+        walk = gr.walk(adj, matched.select(node("entity", "entity").alias("node"), F.col("sim").alias("score")).limit(6), rank.select(node("entity", "entity").alias("node"), F.col("rank").alias("importance")), radius=radius)
     out = {"intent": intent, "items": kept, "walk": walk, "confidence": rt.confidence(kept), "prompt": prompt(kept, question)}
     if answer is not None:
         out["answer"] = answer(out["prompt"].first()["prompt"])

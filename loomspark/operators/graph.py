@@ -145,7 +145,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         if new.join(labels.withColumnRenamed("component", "was"), "node").where("component <> was").isEmpty():
             return new
         labels = new
-    return labels
+    raise RuntimeError(f"components have not converged after {most} rounds")
 
 
 def largest_component(parts: DataFrame) -> DataFrame:

@@ -100,9 +100,9 @@ def interval_neighbours(left: DataFrame, right: DataFrame, key: str, time: str,
 
 def next_match(df: DataFrame, key: str, time: str, order: str, is_mine: Column) -> DataFrame:
     """With each row of others, the time of the next own row of the key (forward as-of join)."""
-    w = Window.partitionBy(key).orderBy(time, order).rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(key).orderBy(F.desc(time), F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)  # backwards: a frame that only grows
     known = df.where(F.col(time) > 0)
-    return known.withColumn("reply_at", F.first(F.when(is_mine, F.col(time)), ignorenulls=True).over(w)).where(~is_mine)
+    return known.withColumn("reply_at", F.last(F.when(is_mine, F.col(time)), ignorenulls=True).over(w)).where(~is_mine)
 
 
 def previous_latency(df: DataFrame, key: str, time: str, order: str, is_mine: Column) -> DataFrame:

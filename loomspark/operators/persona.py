@@ -12,7 +12,7 @@ QUESTION_PHRASES = ("行吗", "可以吗", "好吗", "对吗", "是吗", "要不
 COMMITMENT_PHRASES = ("我来", "我负责", "我处理", "我搞定", "我改", "我加", "明天给", "今天给", "稍后给", "马上给", "没问题", "保证", "一定", "承诺", "答应")
 PLACEHOLDER_PHRASES = ("这条需要人工确认后回复", "抱歉，我无法", "作为一个AI", "作为 AI", "我是一个语言模型")
 MAX_AUTO_LENGTH = 60
-MIN_CONFIDENCE, PER_MINUTE, PER_HOUR = 0.75, 5, 100
+MIN_CONFIDENCE, UNEVALUATED, PER_MINUTE, PER_HOUR = 0.75, -1.0, 5, 100
 
 GREETING, CLOSING = r"(?i)^(hi|hello|hey|good (morning|afternoon|evening)|你好|您好|早|早上好|大家好)", r"(?i)(thanks|thank you|bye|regards|cheers|谢谢|辛苦了|再见|拜拜)[\s\p{Punct}。！]*$"
 MARKERS = {
@@ -80,22 +80,33 @@ def scene_failures(draft: Column, kind: Column, mentioned: Column) -> Column:
 
 
 def risk(failures: Column) -> Column:
-    return F.when(F.array_contains(failures, "no_commitment") | F.array_contains(failures, "no_placeholder"), "high").when(F.size(failures) > 0, "medium").otherwise("low")
+    return F.when(F.arrays_overlap(failures, F.array(*map(F.lit, ("no_commitment", "no_question", "no_placeholder")))), "high").when(F.size(failures) > 0, "medium").otherwise("low")
 
 
 def policy_failures(df: DataFrame, now: str = "now") -> DataFrame:
-    """``failed`` conditions of sending (all of them, in order), ``reason`` (the first) and ``allowed``.
+    """``decision``, ``reason`` (of the first failed condition), ``failed`` (all of them, in order) and ``allowed``.
 
-    Columns: dry_run, reply_mode, now, scene_failures, confidence, risk, draft, banned,
-    sent_minute, sent_hour, kill_switch, revoked_at, expires_at.
+    Columns: dry_run, reply_mode, now, scene_failures, agent_allows, confidence, risk, draft, banned,
+    sent_minute, sent_hour, kill_switch, revoked_at, expires_at. A dry run, and after it the mode
+    "yolo", pass by all conditions. An unevaluated confidence (UNEVALUATED, or null) isn't a low one.
     """
-    grant = F.col("revoked_at").isNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > F.col(now)))
-    failed = F.array_compact(F.array(
-        F.when(F.col("kill_switch"), "kill_switch"), F.when(F.col("dry_run"), "dry_run"), F.when(F.col("reply_mode") != "auto", "mode"), F.when(~tx.in_work_hours(now), "work_hours"),
-        F.when(F.size("scene_failures") > 0, "scene"), F.when(F.coalesce(F.col("confidence"), F.lit(0.0)) < MIN_CONFIDENCE, "confidence"), F.when(F.col("risk") != "low", "risk"),
-        F.when(F.exists("banned", lambda b: F.col("draft").contains(b)), "banned_phrase"), F.when((F.col("sent_minute") >= PER_MINUTE) | (F.col("sent_hour") >= PER_HOUR), "rate_limit"), F.when(~grant, "grant"),
-    ))
-    return df.withColumn("failed", failed).withColumn("reason", F.try_element_at("failed", F.lit(1))).withColumn("allowed", F.size("failed") == 0)
+    evaluated = F.coalesce(F.col("confidence"), F.lit(UNEVALUATED)) != UNEVALUATED
+    checks = (
+        ("mode_is_auto", F.when(F.col("reply_mode") != "auto", "mode_not_auto")),
+        ("within_work_hours", F.when(~tx.in_work_hours(now), "outside_work_hours")),
+        ("scene_allows_auto", F.when(F.size("scene_failures") > 0, "scene_disallows_auto")),
+        ("agent_allows_auto", F.when(~F.col("agent_allows"), "agent_requires_review")),
+        ("confidence_and_risk", F.when(evaluated & (F.col("confidence") < MIN_CONFIDENCE), "low_confidence").when(F.col("risk") != "low", "risk_not_low")),
+        ("no_banned_phrase", F.when(F.exists("banned", lambda b: F.col("draft").contains(b)), "banned_phrase")),
+        ("within_rate_limit", F.when((F.col("sent_minute") >= PER_MINUTE) | (F.col("sent_hour") >= PER_HOUR), "rate_limited")),
+        ("kill_switch_inactive", F.when(F.col("kill_switch"), "kill_switch")),
+        ("has_valid_grant", F.when(F.col("revoked_at").isNotNull(), "grant_missing").when(F.col("expires_at") <= F.col(now), "grant_expired")),
+    )
+    asked = ~F.col("dry_run") & (F.col("reply_mode") != "yolo")
+    failed = F.array_compact(F.array(*(F.when(asked & reason.isNotNull(), name) for name, reason in checks)))
+    reason = F.when(F.col("dry_run"), "dry_run").when(asked, F.coalesce(*(reason for _, reason in checks)))
+    out = df.withColumns({"failed": failed, "reason": reason})
+    return out.withColumn("allowed", F.col("reason").isNull()).withColumn("decision", F.when(F.col("allowed"), "auto_sent").otherwise("drafted"))
 
 
 GATE = ("answer", "draft", "silent")

@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx, vectors as vx
+from .checkpoints import cut
 
-#: Broadcast a side only if its measured size stays below this; else it is joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Broadcast a side only if its measured size stays below both; else it is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 # Limits and weights of retrieval.
 RRF_K = 60
@@ -20,8 +21,18 @@ OFF_GRAPH_RANK = 1e-4
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` hinted for broadcast if it has at most ``rows`` rows (counted, not estimated)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` hinted for broadcast if it has at most ``rows`` rows and BROADCAST_BYTES bytes (counted, not estimated)."""
+
+    def size(f: T.StructField) -> Column:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(f.name), F.lit(0))
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            return 8 * F.greatest(F.size(f.name), F.lit(0))
+        return F.coalesce(F.length(F.to_json(F.struct(f.name))), F.lit(0)) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.lit(8)
+
+    each = sum((size(f) for f in df.schema), F.lit(16)).cast("long")
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= BROADCAST_BYTES else df
 
 
 # ---------------------------------------------------------------- inverted index and BM25
@@ -33,15 +44,18 @@ def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     return exploded.groupBy(doc, "token").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, doc: str, query: str, k1: float = 1.2, b: float = 0.75, every_token: bool = False) -> DataFrame:
+def bm25(index: DataFrame, queries: DataFrame, doc: str, query: str, k1: float = 1.2, b: float = 0.75, every_token: bool = False, stats: DataFrame | None = None) -> DataFrame:
     """(query, doc, score) of documents with any (or every) token of the query.
 
     ``queries``: (query, token). The index is filtered by the queries' tokens before it
-    is aggregated, so only their postings are shuffled.
+    is aggregated, so only their postings are shuffled; these are written once and read for the
+    documents' frequencies and for the scores. ``stats``: one row (n_docs, mean_length), where it is known
+    without the index.
     """
-    stats = index.groupBy(doc).agg(F.first("length").alias("length")).agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))  # one row
-    wanted = queries.select(query, "token").distinct()
-    hits = index.join(checked_broadcast(wanted.select("token").distinct()), "token", "left_semi")
+    if stats is None:
+        stats = index.groupBy(doc).agg(F.first("length").alias("length")).agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    wanted = cut(queries.select(query, "token").distinct())
+    hits = cut(index.join(checked_broadcast(wanted.select("token").distinct()), "token", "left_semi"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     scored = hits.join(df, "token").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as tx, vectors as vx
+from ..operators.checkpoints import cut
 from ..operators import graph as gr, retrieval as rt
 from .tables import events, millis, read
 
@@ -28,9 +29,17 @@ WORDS = "[a-z0-9_]+"
 Q_ITEMS = 20
 
 
+def doc_words(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(f"({WORDS})"), F.lit(1)).alias("words"))
+
+
 def doc_tokens(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(f"({WORDS})"), F.lit(1)).alias("words"))
-    return rt.postings(rows, "doc_id", F.col("words"))
+    return rt.postings(doc_words(spark, d), "doc_id", F.col("words"))
+
+
+def doc_stats(spark, d):
+    """Number and mean length of the documents that have a token: one row."""
+    return doc_words(spark, d).select(F.size("words").alias("length")).where("length > 0").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
 
 
 def query_tokens(spark, d):
@@ -55,8 +64,7 @@ r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s
 
 def fused(spark, d):
     index, q = doc_tokens(spark, d), query_tokens(spark, d)
-    hits = rt.bm25(index, q, "doc_id", "query_id")
-    hits = hits.withColumn("score", F.round("score", 6))
+    hits = cut(rt.bm25(index, q, "doc_id", "query_id", stats=doc_stats(spark, d)).withColumn("score", F.round("score", 6)))  # read for both lists
     lists = rt.ranked(hits, "bm25", "query_id", "doc_id", [F.desc("score"), F.col("doc_id")], 20).unionByName(rt.ranked(hits, "overlap", "query_id", "doc_id", [F.desc("n_tokens"), F.col("doc_id")], 20))
     scored = rt.rrf(lists, ["query_id"], "doc_id").withColumn("score", F.round("score", 6))
     return rt.top_k(scored, "query_id", [F.desc("score"), F.desc("n_lists"), F.col("doc_id")], 1000)
@@ -75,7 +83,7 @@ def hybrid_rrf_topk(spark, d):
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM l1")
 def bm25_topk(spark, d):
-    hits = rt.bm25(doc_tokens(spark, d), query_tokens(spark, d), "doc_id", "query_id").withColumn("score", F.round("score", 6))
+    hits = rt.bm25(doc_tokens(spark, d), query_tokens(spark, d), "doc_id", "query_id", stats=doc_stats(spark, d)).withColumn("score", F.round("score", 6))
     return rt.top_k(hits, "query_id", [F.desc("score"), F.col("doc_id")], 20).select("query_id", "doc_id", "rank")
 
 
@@ -84,7 +92,7 @@ SELECT sc.query_id, sc.doc_id FROM sc JOIN w USING (query_id) JOIN documents d O
 def scoped_recall_and(spark, d):
     scope = read(spark, d, "documents").where("lang in ('en', 'fr')").select("doc_id")
     index = doc_tokens(spark, d).join(scope, "doc_id", "left_semi")
-    return rt.bm25(index, query_tokens(spark, d), "doc_id", "query_id", every_token=True).select("query_id", "doc_id")
+    return rt.bm25(index, query_tokens(spark, d), "doc_id", "query_id", every_token=True, stats=doc_stats(spark, d)).select("query_id", "doc_id")
 
 
 @query("exact_dup_collapse", """

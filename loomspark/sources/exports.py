@@ -199,8 +199,8 @@ def lru(cache: DataFrame, key: str, tick: str, most: int = 100_000) -> DataFrame
 
 
 def embed_distinct(df: DataFrame, text: str, embed: Column | None = None, size: int = 64) -> DataFrame:
-    """``embedding`` of each row, equal texts embedded once."""
+    """``embedding`` of each row, equal texts embedded once; null for a null text."""
     from ..functions.vectors import hash_embedding
 
-    once = df.select(F.xxhash64(text).alias("__h"), text).dropDuplicates([text]).withColumn("embedding", embed if embed is not None else hash_embedding(text, size)).select(text, "embedding")
-    return df.join(once, text)
+    once = df.select(text).where(F.col(text).isNotNull()).distinct().withColumn("embedding", embed if embed is not None else hash_embedding(text, size))
+    return df.join(once, text, "left")

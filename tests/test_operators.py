@@ -148,12 +148,18 @@ def test_identity_events(spark):
 
 
 def test_policy(spark):
-    base = {"dry_run": False, "reply_mode": "auto", "now": 1_704_099_600_000, "scene_failures": [], "confidence": 0.9, "risk": "low", "draft": "ok", "banned": ["bad"], "sent_minute": 0, "sent_hour": 0, "kill_switch": False, "revoked_at": None, "expires_at": None}
-    schema = "dry_run boolean, reply_mode string, now long, scene_failures array<string>, confidence double, risk string, draft string, banned array<string>, sent_minute int, sent_hour int, kill_switch boolean, revoked_at long, expires_at long"
-    cases = [({}, []), ({"dry_run": True, "confidence": 0.5}, ["dry_run", "confidence"]), ({"draft": "so bad", "sent_minute": 5}, ["banned_phrase", "rate_limit"]), ({"expires_at": 5, "kill_switch": True}, ["kill_switch", "grant"]), ({"now": 1_704_067_200_000}, ["work_hours"])]
-    got = ps.policy_failures(spark.createDataFrame([tuple((base | c).values()) for c, _ in cases], schema)).collect()
-    assert [r.failed for r in got] == [w for _, w in cases]
-    assert got[0].allowed and got[1].reason == "dry_run"
+    base = {"dry_run": False, "reply_mode": "auto", "now": 1_704_099_600_000, "scene_failures": [], "agent_allows": True, "confidence": 0.9, "risk": "low", "draft": "ok", "banned": ["bad"], "sent_minute": 0, "sent_hour": 0, "kill_switch": False, "revoked_at": None, "expires_at": None}
+    schema = "dry_run boolean, reply_mode string, now long, scene_failures array<string>, agent_allows boolean, confidence double, risk string, draft string, banned array<string>, sent_minute int, sent_hour int, kill_switch boolean, revoked_at long, expires_at long"
+    cases = [
+        ({}, [], None), ({"dry_run": True, "confidence": 0.5}, [], "dry_run"), ({"dry_run": True, "reply_mode": "yolo"}, [], "dry_run"), ({"reply_mode": "yolo", "kill_switch": True}, [], None),
+        ({"draft": "so bad", "sent_minute": 5}, ["no_banned_phrase", "within_rate_limit"], "banned_phrase"), ({"expires_at": 5, "kill_switch": True}, ["kill_switch_inactive", "has_valid_grant"], "kill_switch"),
+        ({"now": 1_704_067_200_000, "risk": "high"}, ["within_work_hours", "confidence_and_risk"], "outside_work_hours"), ({"confidence": -1.0}, [], None), ({"confidence": 0.5, "risk": "high"}, ["confidence_and_risk"], "low_confidence"),
+        ({"agent_allows": False}, ["agent_allows_auto"], "agent_requires_review"), ({"revoked_at": 9}, ["has_valid_grant"], "grant_missing"),
+    ]
+    got = ps.policy_failures(spark.createDataFrame([tuple((base | c).values()) for c, *_ in cases], schema)).collect()
+    assert [(r.failed, r.reason, r.decision) for r in got] == [(w, why, "drafted" if why else "auto_sent") for _, w, why in cases]
+    rules = spark.createDataFrame([(["no_question"],), (["within_length"],), ([],)], "f array<string>")
+    assert [r.r for r in rules.select(ps.risk(F.col("f")).alias("r")).collect()] == ["high", "medium", "low"]
     draft = spark.createDataFrame([("我来处理吗？", "group"), ("好的", "direct"), ("x" * 61, "direct")], "d string, k string")
     assert [r.f for r in draft.select(ps.scene_failures(F.col("d"), F.col("k"), F.lit(False)).alias("f")).collect()] == [["is_direct_or_mentioned", "no_question", "no_commitment"], [], ["within_length"]]
     steps = spark.createDataFrame([([("draft", "a"), ("answer", "b"), ("silent", "c")],), ([],)], "s array<struct<verdict:string,reason:string>>")
