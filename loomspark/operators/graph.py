@@ -267,3 +267,19 @@ def ranked_members(members: DataFrame, budget: int) -> DataFrame:
     order = [F.desc("degree"), F.when(F.col("node_type") == "entity", 0).otherwise(1), F.desc_nulls_last("confidence"), F.col("node")]
     w = Window.partitionBy("level", "cid").orderBy(*order)
     return members.withColumn("rank", F.row_number().over(w)).withColumn("used", F.sum(tx.quarter_tokens("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= budget)
+
+
+def scan_edges(edges: DataFrame, types: list[str], source_type: str | None = None, target_type: str | None = None) -> DataFrame:
+    """(source_id, target_id, properties) of edges of some types, and of endpoint types where given. ``properties``
+    that aren't a JSON object are an empty map. On a table partitioned by edge_type the filter prunes partitions."""
+    found = edges.where(F.col("edge_type").isin(types))
+    for column, wanted in (("source_type", source_type), ("target_type", target_type)):
+        found = found if wanted is None else found.where(F.col(column) == wanted)
+    read = F.from_json("properties", "map<string,string>")
+    return found.select("source_id", "target_id", F.coalesce(read, F.create_map().cast("map<string,string>")).alias("properties"))
+
+
+def scan_edges_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with an end in ``nodes`` (type, id), each once."""
+    near = lambda end: edges.join(nodes.select(F.col("type").alias(f"{end}_type"), F.col("id").alias(f"{end}_id")).distinct(), [f"{end}_type", f"{end}_id"], "left_semi").select(*edges.columns)
+    return near("source").unionByName(near("target")).distinct()

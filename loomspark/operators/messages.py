@@ -304,3 +304,35 @@ def edge_delta(old: DataFrame, new: DataFrame, keys: list[str], weight: str, tol
     o, n = old.select(*keys, F.col(weight).alias("old_weight")), new.select(*keys, F.col(weight).alias("new_weight"))
     change = F.when(F.col("new_weight").isNull(), "deleted").when(F.col("old_weight").isNull(), "inserted").when(F.abs(F.col("new_weight") - F.col("old_weight")) > tolerance, "reweighted")
     return o.join(n, keys, "full_outer").withColumn("change", change).where("change is not null")
+
+
+# ---------------------------------------------------------------- small filters and orders
+
+# Openings of messages that hold media only, and whole messages that only acknowledge.
+MEDIA_OPENINGS = ("[图片消息]", "[语音消息]", "[视频消息]", "[文件]")
+ACKNOWLEDGED = r"(?iu)^(好的?|ok|收到|嗯+|哈哈+|666|👍|💪|🙏|对的?|是的|行|可以|没问题|了解|明白|知道了|谢谢|thx|thanks)$"
+
+
+def worth_extracting(text: Column) -> Column:
+    """Whether a message says something: not media only, no bare acknowledgement, over three characters."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    media = F.lit(False)
+    for opening in MEDIA_OPENINGS:
+        media |= t.startswith(opening)
+    return ~(media | t.rlike(ACKNOWLEDGED) | ((F.length(t) <= 3) & ~t.contains("\n")))
+
+
+def active(entities: DataFrame, status: str = "quality_status") -> DataFrame:
+    """Entities that aren't quarantined; a null status is not active."""
+    return entities.where(F.col(status) == "active")
+
+
+def recent_in_order(df: DataFrame, key: str, time: str, order: str, n: int) -> DataFrame:
+    """The newest ``n`` rows of each key, numbered in reading order (``position`` from 1)."""
+    newest = df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time), F.desc(order)))).where(F.col("__n") <= n)
+    return newest.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__n")))).drop("__n")
+
+
+def first_seen(items: Column) -> Column:
+    """An array without repeats, in the order of first sight."""
+    return F.array_distinct(items)

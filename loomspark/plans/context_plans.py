@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import context as cx, messages as ms, retrieval as rt
+from ..operators import context as cx, graph as gr, messages as ms, persona as ps, retrieval as rt
 from .tables import events, millis, read
 
 QUERIES: dict = {}
@@ -42,10 +42,10 @@ def level_columns(spark, d):
 
 
 @query("batch_hydration", """
-WITH r AS (SELECT DISTINCT 'part' AS node_type, l_partkey AS node FROM lineitem WHERE l_orderkey < 50 UNION SELECT DISTINCT 'supplier', l_suppkey FROM lineitem WHERE l_orderkey < 50 UNION SELECT 'ghost', 1)
+WITH r AS (SELECT DISTINCT 'part' AS node_type, l_partkey AS node FROM lineitem UNION SELECT DISTINCT 'supplier', l_suppkey FROM lineitem UNION SELECT 'ghost', 1)
 SELECT r.node_type, node, coalesce(p_name, s_name) AS label FROM r LEFT JOIN part ON r.node_type = 'part' AND p_partkey = node LEFT JOIN supplier ON r.node_type = 'supplier' AND s_suppkey = node WHERE coalesce(p_name, s_name) IS NOT NULL""")
 def batch_hydration(spark, d):
-    li = read(spark, d, "lineitem").where("l_orderkey < 50")
+    li = read(spark, d, "lineitem")
     refs = li.select(F.lit("part").alias("node_type"), F.col("l_partkey").alias("node")).unionByName(li.select(F.lit("supplier").alias("node_type"), F.col("l_suppkey").alias("node"))).unionByName(spark.createDataFrame([("ghost", 1)], "node_type string, node long"))
     return cx.hydrate(refs, {"part": read(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("label")), "supplier": read(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("label"))})
 
@@ -121,21 +121,21 @@ def community_browse(spark, d):
 
 
 @query("activity_joins", """
-SELECT l_orderkey AS attempt, l_linenumber AS line, o_orderstatus AS state, c_name AS trigger_text FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 WHERE l_orderkey < 300""")
+SELECT l_orderkey AS attempt, l_linenumber AS line, o_orderstatus AS state, c_name AS trigger_text FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey""")
 def activity_joins(spark, d):
-    attempts = read(spark, d, "lineitem").where("l_orderkey < 300").select(F.col("l_orderkey").alias("draft"), F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("line"))
+    attempts = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("draft"), F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("line"))
     o = read(spark, d, "orders")
     drafts = o.select(F.col("o_orderkey").alias("draft"), F.col("o_orderstatus").alias("state"), F.col("o_orderkey").alias("run"))
     runs = o.select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("trigger"))
-    messages = read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"))
+    messages = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"))
     return cx.activities(attempts, drafts, runs, messages).select("attempt", "line", "state", "trigger_text")
 
 
 @query("interlocutors", """
-SELECT DISTINCT 's' || s_nationkey AS peer, l_orderkey AS message FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey < 200 UNION SELECT 'c' || c_nationkey, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey < 200 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+SELECT DISTINCT 's' || s_nationkey AS peer, l_orderkey AS message FROM lineitem JOIN supplier ON s_suppkey = l_suppkey UNION SELECT 'c' || c_nationkey, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def interlocutors(spark, d):
-    li = read(spark, d, "lineitem").where("l_orderkey < 200")
-    o = read(spark, d, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    li = read(spark, d, "lineitem")
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     own = li.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("chunks")).join(o, "l_orderkey", "left").select(F.col("l_orderkey").alias("message"), F.col("o_custkey").alias("conversation"), "chunks")
     private = read(spark, d, "customer").select(F.col("c_custkey").alias("conversation"), F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("peer"))
     group = read(spark, d, "supplier").select(F.col("s_suppkey").alias("chunk"), F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("peer"))
@@ -190,3 +190,66 @@ def ranked_expansion(spark, d):
     mentions = facts.select("entity", F.col("fact").alias("chunk")).limit(0)
     out = rt.expand(e, mentions, facts, spark.createDataFrame([], "entity long, rank double"), ["ECONOMY"], ["DECISION"])
     return out.where("kind = 'fact'").select("item", F.round("score", 9).alias("score"))
+
+
+# ---------------------------------------------------------------- small filters and orders
+
+
+@query("trivial_messages", """
+SELECT role, count(*) AS n, count(*) FILTER (NOT (length(t) <= 3 OR regexp_full_match(t, '(?i)(ok|thx|thanks|666)'))) AS kept FROM (SELECT role, trim(coalesce(text, '')) AS t FROM conversations) GROUP BY role""")
+def trivial_messages(spark, d):
+    return read(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(ms.worth_extracting(F.col("text"))).alias("kept"))
+
+
+@query("active_entities", "SELECT p_partkey AS entity, p_name AS name FROM part WHERE p_size % 10 <> 0 AND contains(lower(p_name), 'ring')")
+def active_entities(spark, d):
+    status = F.when(F.col("p_size") % 10 == 0, "quarantined").otherwise("active")
+    rows = read(spark, d, "part").withColumn("quality_status", status)
+    return ms.active(rows).where(F.lower("p_name").contains("ring")).select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name"))
+
+
+@query("recent_in_order", """
+SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS position
+FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 8)""")
+def recent_in_order(spark, d):
+    return ms.recent_in_order(events(spark, d), "user_id", "ms", "event_id", 8).select("user_id", "event_id", "position")
+
+
+@query("ordered_dedup", """
+SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words
+FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL)""")
+def ordered_dedup(spark, d):
+    return read(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(ms.first_seen(F.split("text", " ")), " ").alias("words"))
+
+
+def typed_edges(spark, d):
+    e = read(spark, d, "lineitem").select(F.lit("fact").alias("source_type"), F.col("l_orderkey").alias("source_id"), F.when(F.col("l_linenumber") % 2 == 0, "entity").otherwise("chunk").alias("target_type"), F.col("l_partkey").alias("target_id"), F.when(F.col("l_linenumber") % 2 == 0, "ABOUT").otherwise("FROM").alias("edge_type"), F.when(F.col("l_returnflag") == "R", "broken {").otherwise(F.format_string('{"weight": %d}', F.col("l_quantity").cast("int"))).alias("properties"))
+    return e
+
+
+@query("scan_edges", """
+SELECT l_orderkey AS source_id, l_partkey AS target_id, CASE WHEN l_returnflag <> 'R' THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS weight FROM lineitem WHERE l_linenumber % 2 = 0""")
+def scan_edges(spark, d):
+    return gr.scan_edges(typed_edges(spark, d), ["ABOUT", "SIMILAR"], target_type="entity").select("source_id", "target_id", F.col("properties")["weight"].alias("weight"))
+
+
+@query("scan_edges_of_frontier", """
+SELECT DISTINCT l_orderkey AS source_id, l_partkey AS target_id, l_linenumber % 2 = 0 AS about FROM lineitem
+WHERE l_linenumber % 2 = 0 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7) OR l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+def scan_edges_of_frontier(spark, d):
+    nodes = read(spark, d, "part").where("p_size = 7").select(F.lit("entity").alias("type"), F.col("p_partkey").alias("id")).unionByName(read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.lit("fact").alias("type"), F.col("o_orderkey").alias("id")))
+    return gr.scan_edges_of(typed_edges(spark, d), nodes).select("source_id", "target_id", (F.col("edge_type") == "ABOUT").alias("about")).distinct()
+
+
+@query("send_policy", """
+WITH p AS (SELECT o_orderkey AS id, o_orderstatus = 'P' AS dry, CASE WHEN o_orderpriority = '5-LOW' THEN 'yolo' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'draft' ELSE 'auto' END AS mode, o_totalprice FROM orders)
+SELECT id, CASE WHEN dry THEN 'dry_run' WHEN mode = 'yolo' THEN NULL WHEN mode = 'draft' THEN 'mode_not_auto' WHEN o_totalprice < 1000 THEN 'agent_requires_review' WHEN o_totalprice < 100000 THEN 'low_confidence' WHEN id % 7 = 0 THEN 'banned_phrase' WHEN id % 11 = 0 THEN 'kill_switch' END AS reason,
+CASE WHEN dry THEN 'drafted' WHEN mode = 'yolo' THEN 'auto_sent' WHEN mode = 'draft' OR o_totalprice < 100000 OR id % 7 = 0 OR id % 11 = 0 THEN 'drafted' ELSE 'auto_sent' END AS decision FROM p""")
+def send_policy(spark, d):
+    none = F.lit(None).cast("long")
+    o = read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "P").alias("dry_run"), F.when(F.col("o_orderpriority") == "5-LOW", "yolo").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "draft").otherwise("auto").alias("reply_mode"),
+        F.lit(1_704_099_600_000).alias("now"), F.array().cast("array<string>").alias("scene_failures"), (F.col("o_totalprice") >= 1000).alias("agent_allows"), F.when(F.col("o_totalprice") < 100_000, 0.5).otherwise(-1.0).alias("confidence"),
+        F.lit("low").alias("risk"), F.when(F.col("o_orderkey") % 7 == 0, "so bad").otherwise("fine").alias("draft"), F.array(F.lit("bad")).alias("banned"), F.lit(0).alias("sent_minute"), F.lit(0).alias("sent_hour"), (F.col("o_orderkey") % 11 == 0).alias("kill_switch"), none.alias("revoked_at"), none.alias("expires_at"),
+    )
+    return ps.policy_failures(o).select("id", "reason", "decision")
