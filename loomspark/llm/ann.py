@@ -14,8 +14,9 @@ true neighbours by one pass over all rows, and as many leaves are opened as find
 the table, and vectors without structure (isotropic ones in many dimensions, for which
 no tree can narrow the search) cost a large share of it, but keep their recall.
 
-A leaf with very many rows (equal vectors fall into one leaf) is dealt out in
-slices, each of which returns its own best, so no task holds a leaf of any size.
+Neighbouring leaves make blocks: a query is sent once to a block, with the leaves that it
+opens there, and gets one list of its best back. A block with very many rows (equal vectors
+fall into one leaf) is dealt out in slices, so no task holds a block of any size.
 
 Defined results: vectors that are null, zero, of another length than the most
 common one, or that hold nulls or values that aren't finite take no part, as query
@@ -122,11 +123,21 @@ def valid_vectors(table: DataFrame) -> DataFrame:
     return v.where(F.size("embedding") == (length["n"] if length else 0)).distinct()
 
 
-def _best(ids: np.ndarray, rows: np.ndarray, q_ids: list[int], queries: np.ndarray, k: int):
-    """(query's id, id, cosine) of the ``k`` nearest of ``rows`` to each query, itself left out."""
+def _best(ids: np.ndarray, rows: np.ndarray, q_ids: list[int], queries: np.ndarray, k: int, cells: np.ndarray | None = None, wanted: list[list[int]] | None = None):
+    """(query's id, id, cosine) of the ``k`` nearest of ``rows`` to each query, itself left out; with ``cells``
+    (of the rows, ascending) of the rows in those that the query has ``wanted``."""
     rows, queries = _scaled(rows), _scaled(queries)
     norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-    near = (queries @ rows.T) / norms
+    if cells is None:
+        near = (queries @ rows.T) / norms
+    else:
+        near = np.full((len(queries), len(rows)), -np.inf)
+        leaf, by = np.concatenate(wanted).astype(np.int64), np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
+        order = np.argsort(leaf, kind="stable")
+        leaf, by = leaf[order], by[order]
+        for i, j in zip(first := np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]]), [*first[1:], len(leaf)], strict=True):
+            a, b = np.searchsorted(cells, [leaf[i], leaf[i] + 1])
+            near[by[i:j], a:b] = queries[by[i:j]] @ rows[a:b].T / norms[a:b]
     for i, q_id in enumerate(q_ids):
         near[i, ids == q_id] = -np.inf
         near[i] /= (norm := np.sqrt(np.einsum("j,j->", queries[i], queries[i])))
@@ -189,30 +200,42 @@ def nearest(table: DataFrame, is_query, k: int = 5, slice_rows: int = 4096, **se
         forest, opened = fitted(rows, n, k, **settings)
         shared = spark.sparkContext.broadcast(forest)  # PLANES vectors and two numbers a node: bounded by the sample
 
-        def placed(cells):
-            def run(batches):
-                for batch in batches:
-                    at = [cells(m) for m in _unit(_matrix(batch.column("embedding")))] if cells else shared.value.leaves(_unit(_matrix(batch.column("embedding"))))
-                    take = pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at) if len(at) else [], pa.int64()), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["cell", "vec_id", "embedding"])
-
-            return run
-
-        schema = f"cell long, vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}"
-        members = rows.mapInArrow(placed(None), schema)
-        sizes = F.broadcast(cut(members.groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))))  # a row for each leaf: bounded by the sample
-        members = members.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice"), "vec_id", "embedding")
-        queries = rows.where(is_query).mapInArrow(placed(lambda q: shared.value.route(q, opened)), schema).join(sizes, "cell")
-        queries = queries.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("cell", "slice", "vec_id", "embedding")
+        together = 2 ** min(forest.depth, max(0, int(np.log2(max(1, slice_rows * 2**forest.depth / n)))))  # neighbouring leaves of one tree that make a block of about ``slice_rows``
+
+        def place(batches):
+            for batch in batches:
+                at = shared.value.leaves(_unit(_matrix(batch.column("embedding"))))
+                take = pa.array(np.repeat(np.arange(len(at)), at.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(at.ravel() // together), pa.array(at.ravel()), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["block", "cell", "vec_id", "embedding"])
+
+        def route(batches):
+            """A query goes once to each block of which it opens leaves."""
+            for batch in batches:
+                blocks, cells, take = [], [], []
+                for i, q in enumerate(_unit(_matrix(batch.column("embedding")))):
+                    at = np.sort(shared.value.route(q, opened))
+                    first = np.flatnonzero(np.diff(at // together, prepend=-1))
+                    blocks += (at[first] // together).tolist()
+                    cells += np.split(at, first[1:])
+                    take += [i] * len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(cells, pa.list_(pa.int64())), batch.column("vec_id").take(pa.array(take, pa.int64())), batch.column("embedding").take(pa.array(take, pa.int64()))], ["block", "cells", "vec_id", "embedding"])
+
+        vector = rows.schema["embedding"].dataType.simpleString()
+        members = rows.mapInArrow(place, f"block long, cell long, vec_id long, embedding {vector}")
+        sizes = F.broadcast(cut(members.groupBy("block").agg(F.ceil(F.count("*") / (4 * slice_rows)).cast("int").alias("slices"))))  # a row for each block of leaves: bounded by the sample
+        members = members.join(sizes, "block").select("block", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice"), "cell", "vec_id", "embedding")
+        queries = rows.where(is_query).mapInArrow(route, f"block long, cells array<long>, vec_id long, embedding {vector}").join(sizes, "block")
+        queries = queries.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("block", "slice", "cells", "vec_id", "embedding")
 
         def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
             if not len(left) or not len(right):
                 return FOUND.empty_table()
-            ids, m, out = np.asarray(left["vec_id"]), _matrix(left["embedding"]), []
-            for i in range(0, len(right), 256):  # a block of queries against the slice
+            left = left.sort_by("cell")
+            ids, m, cells, out = np.asarray(left["vec_id"]), _matrix(left["embedding"]), np.asarray(left["cell"]), []
+            for i in range(0, len(right), 256):
                 some = right.slice(i, 256)
-                out += _best(ids, m, some["vec_id"].to_pylist(), _matrix(some["embedding"]), k)
+                out += _best(ids, m, some["vec_id"].to_pylist(), _matrix(some["embedding"]), k, cells, some["cells"].to_pylist())
             return pa.Table.from_batches([_found(out)])
 
-        found = members.groupBy("cell", "slice").cogroup(queries.groupBy("cell", "slice")).applyInArrow(score, "query_id long, vec_id long, score double")
+        found = members.groupBy("block", "slice").cogroup(queries.groupBy("block", "slice")).applyInArrow(score, "query_id long, vec_id long, score double")
         return keep(_ranked(found, k))
