@@ -84,8 +84,7 @@ def _send(size: int, bits: int, block_bytes: int):
             pack = lambda i: [None if r[i] is None else _planes(r[i]) for r in rows]
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] if r[0] >= 0 else block % 2**bits for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
-                *(pa.array([None if r[i] is None else r[i].tobytes() for r in rows], pa.binary()) for i in (2, 3)),
-                *(pa.array(pack(i), pa.binary()) for i in (1, 4, 5, 6, 7)),
+                *(pa.array(pack(i), pa.binary()) for i in (2, 3, 1, 4, 5, 6, 7)),  # the bytes of a hash that name the bucket are one plane of one value
             ], ["bucket", "block", "hashes", "more", "at", "counts", "ids", "first", "keys"])
 
     return run
@@ -100,7 +99,7 @@ def _count(table: pa.Table) -> pa.Table:
     sent = [r for r in rows if r["first"] is None]
     out = [{k: r[k] for k in ("block", "at", "ids", "first", "keys")} for r in rows if r["first"] is not None]
     if sent:
-        h, more = (np.concatenate([np.frombuffer(r[c], t) for r in sent]) for c, t in (("hashes", np.uint64), ("more", np.uint32)))
+        h, more = (np.concatenate([_unplanes(r[c], t) for r in sent]) for c, t in (("hashes", np.uint64), ("more", np.uint32)))
         doc = np.concatenate([np.repeat(_unplanes(r["ids"], np.int64), _unplanes(r["counts"], np.uint32)) for r in sent])
         by, same = _alike(h, more)
         least = np.repeat(np.minimum.reduceat(doc[by], same), np.diff(np.r_[same, len(h)]))
