@@ -37,6 +37,8 @@ from .groups import PACKED, dealt, link_groups
 
 COORDINATES = 64
 AGREE = 36
+#: Words of 64 bits in the bitmap of wanted documents: the bound of its broadcast (some 10 MB), whatever the input.
+WORDS_OF_BITS = 1 << 18
 _A = np.random.default_rng(6).integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _SIZE_SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -209,11 +211,22 @@ def _link_sets(percent: int):
     return link
 
 
+def _perhaps_wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, ...) without most rows whose doc_id isn't in ``ids``: those whose hash has no bit in a bitmap of a
+    fixed size. No row of ``ids`` is lost; the join that follows is exact. With more ids the bitmap fills and keeps more."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(WORDS_OF_BITS * 64))
+    place = [F.shiftright(slot, 6).alias("__word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("__bit")]
+    words = ids.select(*place).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    found = docs.select("*", *place).join(F.broadcast(words), "__word").where(F.getbit("__bits", "__bit") == 1)  # at most WORDS_OF_BITS rows
+    return found.select(*docs.columns)
+
+
 def linked_classes(docs: DataFrame, groups: DataFrame, size: int, percent: int, cut: Scratch) -> DataFrame:
     """(node, root) of classes linked with others. ``groups``: (cls, grp, doc_id, n) of the
     candidate groups, one document for each class."""
     wanted, oversized = dealt(groups.withColumn("bytes", F.col("n") * 8), cut)
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id", "cls", "grp", "part"), "doc_id")
+    texts = _perhaps_wanted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), groups.select("doc_id"))
+    sets = texts.join(wanted.select("doc_id", "cls", "grp", "part"), "doc_id")
     packed = sets.select("cls", "grp", "part", "text").mapInArrow(_pack_sets(size), PACKED)
     return link_groups(packed, oversized, _link_sets(percent), cut)
 
