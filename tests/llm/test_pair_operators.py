@@ -383,3 +383,17 @@ def test_cosines_of_extreme_vectors(spark):
     data = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1e300, 0.0]), (3, [-1e-310, 0.0])]
     got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.lit(True)).collect()}
     assert abs(got[0, 1] - 1) < 1e-12 and abs(got[0, 2] - 0.5**0.5) < 1e-12 and got[2, 3] == -1.0
+
+
+@pytest.mark.parametrize("words", [1 << 18, 4])
+def test_bitmap_of_wanted_documents_loses_none(spark, monkeypatch, words):
+    """Also where the bitmap is full; null ids among the documents and an empty set of ids do no harm."""
+    monkeypatch.setattr(neardup, "WORDS_OF_BITS", words)
+    docs = spark.sql("select id - 50 as doc_id, 't' as text from range(3000) union all select null, 'n'")
+    ids = docs.where("doc_id % 7 = 0").select("doc_id")
+    found = neardup._perhaps_wanted(docs, ids)
+    assert found.columns == docs.columns
+    assert ids.join(found, "doc_id", "left_anti").count() == 0
+    assert neardup._perhaps_wanted(docs, ids.limit(0)).count() == 0
+    if words > 4:
+        assert found.count() < 1.1 * ids.count()
