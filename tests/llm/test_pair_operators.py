@@ -166,7 +166,7 @@ def test_edit_distance():
         a, b = (bytes(rng.choices(b"abc", k=rng.randint(0, 14))) for _ in range(2))
         assert lines.edit_distance(a, b, 99) == levenshtein(a, b)
         assert (lines.edit_distance(a, b, 3) <= 3) == (levenshtein(a, b) <= 3)
-        assert lines.within(a, b, 3) == (levenshtein(a, b) <= 3) and lines.aligned(a, b, 99) >= levenshtein(a, b)
+        assert lines.aligned(a, b, 99) >= levenshtein(a, b)
     for _ in range(200):
         a = bytes(rng.choices(b"abcdefgh ", k=rng.randint(60, 300)))
         b = bytearray(a)
@@ -175,7 +175,25 @@ def test_edit_distance():
             b[i : i + rng.randint(0, 9)] = bytes(rng.choices(b"abcdefgh ", k=rng.randint(0, 9)))
         d = levenshtein(a, bytes(b))
         assert lines.aligned(a, bytes(b), 10**6) >= d and lines.edit_distance(a, bytes(b), 10**6) == d
-        assert lines.within(a, bytes(b), len(a) // 5) == (d <= len(a) // 5)
+        assert (lines.edit_distance(a, bytes(b), len(a) // 5) <= len(a) // 5) == (d <= len(a) // 5)
+
+
+def test_edit_distance_to_many():
+    rng = random.Random(1)
+    for _ in range(60):
+        a = bytes(rng.choices(b"abcd ", k=rng.choice([1, 3, 130, 200, 270])))
+        others = [bytes(rng.choices(b"abcd \0", k=rng.randint(1, 200)))]
+        for _ in range(rng.randint(0, 5)):
+            b = bytearray(a)
+            for _ in range(rng.randint(0, 1 + len(a) // 4)):
+                i = rng.randrange(len(b) + 1)
+                b[i : i + rng.randint(0, 2)] = bytes(rng.choices(b"abcd ", k=rng.randint(0, 2)))
+            others.append(bytes(b) or b"a")
+        d = np.array([levenshtein(a, b) for b in others])
+        most = np.maximum(0, d + np.array([rng.choice([-30, -1, 0, 0, 3]) for _ in others]))
+        assert (lines.all_within(a, others, most) == (d <= most)).all()
+        for b, m, true in zip(others, most.tolist(), d.tolist(), strict=True):
+            assert (lines.edit_distance(a, b, m) <= m) == (true <= m)
 
 
 def gone_lines(docs, min_words=3, percent=80):
