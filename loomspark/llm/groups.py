@@ -12,6 +12,8 @@ from .common import Scratch, components, keep
 GROUP_BYTES = 48 << 20
 #: Classes that go past all chunks of their group at a time.
 TILE = 256
+#: Rows of a batch of links.
+ROWS = 10_000
 PAIRS = "a binary, b binary"
 PACKED = "cls binary, grp binary, part int, items binary"
 
@@ -20,18 +22,43 @@ Link = Callable[[list[bytes]], list[int]]
 
 
 def _linked(link: Link):
-    def run(table: pa.Table) -> pa.Table:
-        rows = {r["cls"]: r["items"] for r in table.to_pylist()}  # a class may come more than once
+    """Over rows in the order of (grp, part): one group at a time is held."""
+
+    def pairs(rows: dict[bytes, bytes]) -> tuple[list[bytes], list[bytes]]:
         names = sorted(rows, key=lambda c: (len(rows[c]), c))
         roots = link([rows[c] for c in names])
         least: dict[int, bytes] = {}
         for name, root in zip(names, roots, strict=True):
             least[root] = min(least.get(root, name), name)
-        return pa.table({"a": pa.array(names, pa.binary()), "b": pa.array([least[r] for r in roots], pa.binary())})
+        return names, [least[r] for r in roots]
+
+    def run(batches):
+        at, rows = None, {}  # a class may come more than once
+        a: list[bytes] = []
+        b: list[bytes] = []
+        for batch in batches:
+            for cls, *key, items in zip(*(batch.column(c).to_pylist() for c in ("cls", "grp", "part", "items")), strict=True):
+                if key != at:
+                    for out, new in zip((a, b), pairs(rows), strict=True):
+                        out += new
+                    at, rows = key, {}
+                    if len(a) > ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                        a, b = [], []
+                rows[cls] = items
+        for out, new in zip((a, b), pairs(rows), strict=True):
+            out += new
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
 
 
+def _within_groups(packed: DataFrame, link: Link) -> DataFrame:
+    """(a, b): each class and the smallest one it is linked to among those of its chunk. A task walks through its groups
+    in their order, so many small ones cost little."""
+    return packed.repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(_linked(link), PAIRS)
+
+
 def dealt(groups: DataFrame, cut: Scratch) -> tuple[DataFrame, DataFrame]:
     """``groups`` (with grp, cls and bytes) with the chunk (part) of each class, and (grp, parts) of the groups of more than one chunk."""
     parts = groups.groupBy("grp").agg(F.ceil(F.sum("bytes") / GROUP_BYTES).cast("int").alias("parts"))
@@ -48,7 +75,7 @@ def link_groups(packed: DataFrame, oversized: DataFrame, link: Link, cut: Scratc
     largest component goes past all chunks, TILE at a time, until nothing can be missing."""
     many = not oversized.isEmpty()
     packed = cut(packed) if many else packed  # read once for each tile
-    links = cut(packed.groupBy("grp", "part").applyInArrow(_linked(link), PAIRS))
+    links = cut(_within_groups(packed, link))
     if not many:
         return keep(links.select(F.col("a").alias("node"), F.col("b").alias("root")))
     large = packed.join(oversized, "grp")
@@ -65,6 +92,6 @@ def link_groups(packed: DataFrame, oversized: DataFrame, link: Link, cut: Scratc
             return roots
         out = large.join(F.broadcast(tile), ["grp", "cls"]).select("cls", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "items")
         past = large.select("cls", "grp", "part", "items").join(F.broadcast(tile.select("grp").distinct()), "grp")
-        last, links = links, cut(links.unionByName(past.unionByName(out).groupBy("grp", "part").applyInArrow(_linked(link), PAIRS)).distinct())
+        last, links = links, cut(links.unionByName(_within_groups(past.unionByName(out), link)).distinct())
         cut.drop(last)
         done = tile if done is None else cut(done.unionByName(tile))
