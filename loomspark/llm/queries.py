@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontam, lines, neardup, quality, secrets, sharding, substring, tokenids
+from . import ann, bpe, decontam, lines, neardup, quality, secrets, sharding, simhash, spelling, substring, tokenids
 from .common import documents
 
 #: Small shards, about the size of a row group, so that tables of any size split to uneven depths.
@@ -78,6 +78,33 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(documents(spark, sf_dir))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(documents(spark, sf_dir), size=4, differ=4)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+#: CRC-32 from its polynomial, and pairs of one edit by what is left without one code point.
+OP12_SQL = r"""
+WITH RECURSIVE tbl AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS hex FROM runs),
+bytes AS (SELECT run, n, list_transform(range(1, length(hex), 2), lambda i: (instr('0123456789ABCDEF', hex[i]) - 1) * 16 + instr('0123456789ABCDEF', hex[i + 1]) - 1) AS b FROM coded),
+crc AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) % 256) + 1])), 4294967295) AS h FROM bytes, tbl),
+spelt AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM crc),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+v AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, CAST(unnest(range(1, length(word) + 1)) AS INT) AS i FROM w)),
+p AS MATERIALIZED (SELECT a.word AS x, b.word AS y FROM v a JOIN v b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT v.word, w.word FROM v JOIN w ON w.word = v.rest UNION SELECT w.word, v.word FROM v JOIN w ON w.word = v.rest),
+f AS MATERIALIZED (SELECT w.word, w.n, count(p.y) AS n_near, arg_min(p.y, (-o.n, p.y)) AS best, max(o.n) AS best_n FROM w LEFT JOIN p ON p.x = w.word LEFT JOIN w o ON o.word = p.y GROUP BY w.word, w.n),
+g AS MATERIALIZED (SELECT word, n, n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM f),
+r(word, top, step) AS (SELECT word, word, 0 FROM g UNION ALL SELECT r.word, g.form, r.step + 1 FROM r JOIN g ON g.word = r.top WHERE g.form IS NOT NULL)
+SELECT g.word, g.n, g.n_near, g.form, g.form_n, l.root FROM g JOIN (SELECT word, arg_max(top, step) AS root FROM r GROUP BY word) l ON l.word = g.word
+"""
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_decontamination": op2_decontamination,
@@ -89,10 +116,13 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,
+    "op11_simhash": op11_simhash,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES = {
     "op3_sharding": sharding.oracle(SHARD_BYTES),
     "op5_substring_dedup": OP5_SQL,
     "op6_near_duplicates": OP6_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
