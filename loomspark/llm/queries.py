@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontam, lines, neardup, quality, secrets, sharding, simhash, spelling, substring, tokenids
+from . import ann, bpe, decontam, lines, neardup, negatives, quality, secrets, sharding, simhash, spelling, substring, tokenids
 from .common import documents
 
 #: Small shards, about the size of a row group, so that tables of any size split to uneven depths.
@@ -105,6 +105,23 @@ SELECT g.word, g.n, g.n_near, g.form, g.form_n, l.root FROM g JOIN (SELECT word,
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, label)
+
+
+OP13_SQL = """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+      FROM (SELECT * FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS p, p.score AS ps, s.b AS n, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, p AS positive_id, CAST(rank AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3
+"""
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_decontamination": op2_decontamination,
@@ -118,6 +135,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op11_simhash": op11_simhash,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
@@ -125,4 +143,5 @@ ORACLES = {
     "op5_substring_dedup": OP5_SQL,
     "op6_near_duplicates": OP6_SQL,
     "op12_spelling_variants": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
