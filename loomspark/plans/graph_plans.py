@@ -7,7 +7,8 @@ from pyspark.sql import Window, functions as F
 from ..functions import text as tx, vectors as vx
 from ..operators.checkpoints import cut
 from ..operators import graph as gr, retrieval as rt
-from .tables import events, millis, read
+from ..operators.textindex import TextIndex
+from .tables import events, millis, read, state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,17 +30,17 @@ WORDS = "[a-z0-9_]+"
 Q_ITEMS = 20
 
 
-def doc_words(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(f"({WORDS})"), F.lit(1)).alias("words"))
+WORD_LIST = f"regexp_extract_all(lower(text), '({WORDS})', 1)"
+#: The session's index of ``documents``, by the state of its files: built once, read by every query below.
+INDEXES: dict[tuple, TextIndex] = {}
 
 
-def doc_tokens(spark, d):
-    return rt.postings(doc_words(spark, d), "doc_id", F.col("words"))
-
-
-def doc_stats(spark, d):
-    """Number and mean length of the documents that have a token: one row."""
-    return doc_words(spark, d).select(F.size("words").alias("length")).where("length > 0").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+def full_text(spark, d) -> TextIndex:
+    docs = read(spark, d, "documents")
+    key = (spark.sparkContext.applicationId, *state(docs))
+    if key not in INDEXES:
+        INDEXES[key] = TextIndex.build(docs, "doc_id", F.expr(WORD_LIST))
+    return INDEXES[key]
 
 
 def query_tokens(spark, d):
@@ -63,8 +64,7 @@ r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s
 
 
 def fused(spark, d):
-    index, q = doc_tokens(spark, d), query_tokens(spark, d)
-    hits = cut(rt.bm25(index, q, "doc_id", "query_id", stats=doc_stats(spark, d)).withColumn("score", F.round("score", 6)))  # read for both lists
+    hits = cut(full_text(spark, d).search(query_tokens(spark, d), 20, by=("score", "n_tokens"))).withColumnRenamed("doc", "doc_id")  # read for both lists
     lists = rt.ranked(hits, "bm25", "query_id", "doc_id", [F.desc("score"), F.col("doc_id")], 20).unionByName(rt.ranked(hits, "overlap", "query_id", "doc_id", [F.desc("n_tokens"), F.col("doc_id")], 20))
     scored = rt.rrf(lists, ["query_id"], "doc_id").withColumn("score", F.round("score", 6))
     return rt.top_k(scored, "query_id", [F.desc("score"), F.desc("n_lists"), F.col("doc_id")], 1000)
@@ -83,7 +83,7 @@ def hybrid_rrf_topk(spark, d):
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM l1")
 def bm25_topk(spark, d):
-    hits = rt.bm25(doc_tokens(spark, d), query_tokens(spark, d), "doc_id", "query_id", stats=doc_stats(spark, d)).withColumn("score", F.round("score", 6))
+    hits = full_text(spark, d).search(query_tokens(spark, d), 20).withColumnRenamed("doc", "doc_id")
     return rt.top_k(hits, "query_id", [F.desc("score"), F.col("doc_id")], 20).select("query_id", "doc_id", "rank")
 
 
@@ -91,8 +91,52 @@ def bm25_topk(spark, d):
 SELECT sc.query_id, sc.doc_id FROM sc JOIN w USING (query_id) JOIN documents d ON d.doc_id = sc.doc_id WHERE n_tokens = n AND d.lang IN ('en', 'fr')""")
 def scoped_recall_and(spark, d):
     scope = read(spark, d, "documents").where("lang in ('en', 'fr')").select("doc_id")
-    index = doc_tokens(spark, d).join(scope, "doc_id", "left_semi")
-    return rt.bm25(index, query_tokens(spark, d), "doc_id", "query_id", every_token=True, stats=doc_stats(spark, d)).select("query_id", "doc_id")
+    return full_text(spark, d).search(query_tokens(spark, d), 20, every_token=True, scope=scope).select("query_id", F.col("doc").alias("doc_id"))
+
+
+@query("index_upkeep", f"""WITH documents2 AS (
+SELECT d.doc_id, CASE WHEN l.quality = 0 THEN d.lang || ' ' || d.source ELSE d.text END AS text FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.lang <> 'de'
+UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, text FROM conversations),
+{BM25_SQL.replace("FROM documents", "FROM documents2")} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM l1""")
+def index_upkeep(spark, d):
+    """An index after three more commits: conversations come in, documents labelled bad become a stub, those in German go."""
+    docs, tokens = read(spark, d, "documents"), F.expr(WORD_LIST)
+    index = TextIndex.build(docs, "doc_id", tokens)
+    bad = docs.join(read(spark, d, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    index.upsert(bad.select("doc_id", F.concat_ws(" ", "lang", "source").alias("text")), "doc_id", tokens)
+    index.upsert(read(spark, d, "conversations").select((1_000_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"), "doc_id", tokens)
+    index.delete(docs.where("lang = 'de'"), "doc_id")
+    hits = index.search(query_tokens(spark, d), 20).withColumnRenamed("doc", "doc_id")
+    return rt.top_k(hits, "query_id", [F.desc("score"), F.col("doc_id")], 20).select("query_id", "doc_id", "rank")
+
+
+@query("index_terms", f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS token FROM documents)
+SELECT token, count(DISTINCT doc_id) AS df FROM t GROUP BY token""")
+def index_terms(spark, d):
+    """Document frequencies as the stored index has them."""
+    return full_text(spark, d).terms()
+
+
+DENSE_SQL = """
+dq AS (SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id),
+dc AS (SELECT dq.query_id, e.vec_id AS doc_id, round(list_dot_product(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(dq.embedding, lambda x: CAST(x AS DOUBLE)))
+  / (sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(dq.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6) AS score
+  FROM dq, embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+l3 AS MATERIALIZED (SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dc) WHERE rank <= 20)"""
+
+
+@query("hybrid_dense_topk", f"""WITH {BM25_SQL}, {DENSE_SQL},
+f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, count(*) AS n_lists FROM (SELECT query_id, doc_id, rank FROM l1 UNION ALL SELECT * FROM l3) GROUP BY 1, 2)
+SELECT query_id, doc_id, score, n_lists, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n_lists DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 30""")
+def hybrid_dense_topk(spark, d):
+    """A lexical and a dense list fused (R7). Vectors stand for the documents of their number, and an item asks with the vector of its number."""
+    hits = full_text(spark, d).search(query_tokens(spark, d), 20).withColumnRenamed("doc", "doc_id")
+    vectors = read(spark, d, "embeddings").join(read(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    asking = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    near = rt.vector_topk(vectors, asking, 2 * 20).withColumn("score", F.round("score", 6)).withColumnRenamed("vec_id", "doc_id").drop("rank")  # more than needed: rounding may reorder
+    lists = rt.ranked(hits, "bm25", "query_id", "doc_id", [F.desc("score"), F.col("doc_id")], 20).unionByName(rt.ranked(near, "dense", "query_id", "doc_id", [F.desc("score"), F.col("doc_id")], 20))
+    scored = rt.rrf(lists, ["query_id"], "doc_id").withColumn("score", F.round("score", 6))
+    return rt.top_k(scored, "query_id", [F.desc("score"), F.desc("n_lists"), F.col("doc_id")], 30).select("query_id", "doc_id", "score", "n_lists", "rank")
 
 
 @query("exact_dup_collapse", """

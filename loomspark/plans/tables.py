@@ -21,3 +21,15 @@ def millis(ts: Column | str) -> Column:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with ``ms``, its time in epoch milliseconds."""
     return read(spark, sf_dir, "events").withColumn("ms", millis("ts"))
+
+
+def state(df: DataFrame) -> tuple:
+    """What tells one state of a table's files from another: paths, sizes and times of change."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    found = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
