@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import python as py, text as tx
-from ..operators import ask, checkpoints, communities as cm, graph as gr, persona as ps, retrieval as rt
+from ..operators import ask, checkpoints, communities as cm, graph as gr, leiden as ld, persona as ps, retrieval as rt
 from ..sources import exports as ex
 from ..streaming import changelog as cl
 from .graph_plans import part_edges
@@ -95,12 +95,36 @@ def leiden_levels(spark, d):
     return cm.communities(part_edges(spark, d))
 
 
+def top_quality(edges, levels):
+    """Modularity of the communities: the last level."""
+    top = levels.agg(F.max("level")).first()[0]
+    return gr.modularity(edges, levels.where(F.col("level") == top).select("node", "cid")).first()["q"]
+
+
 @query("leiden_quality")
 def leiden_quality(spark, d):
     edges = checkpoints.cut(part_edges(spark, d))
     levels = checkpoints.cut(cm.communities(edges))
-    found = gr.modularity(edges, levels.where("level = 0").select("node", "cid"))
-    return found.select(F.round("q", 4).alias("q"))
+    return spark.createDataFrame([(round(top_quality(edges, levels), 4),)], "q double")
+
+
+@query("leiden_upkeep")
+def leiden_upkeep(spark, d):
+    """Communities of parts bought together before the last order date, brought up to date with that day's orders: their modularity beside
+    that of a full run, and the nodes of communities that were worked on."""
+    dates = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    bought = read(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(dates, "l_orderkey").distinct()
+    last = bought.agg(F.max("o_orderdate")).first()[0]
+
+    def pairs(rows):
+        return gr.co_participation(rows, "l_orderkey", "l_partkey").select("a", "b", F.col("shared").cast("double").alias("weight"))
+
+    new = checkpoints.cut(pairs(bought))
+    old = checkpoints.cut(ld.leiden(pairs(bought.where(F.col("o_orderdate") < last))))
+    levels, worked = ld.updated(old, new, pairs(bought.where(F.col("o_orderdate") == last)).select("a", "b"))
+    levels = checkpoints.cut(levels)
+    row = (round(top_quality(new, levels), 4), round(top_quality(new, checkpoints.cut(ld.leiden(new))), 4), worked.count(), levels.select("node").distinct().count())
+    return spark.createDataFrame([row], "q double, q_full double, n_worked long, n_nodes long")
 
 
 @query("identity_lineage")
