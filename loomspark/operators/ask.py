@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import python as py, text as tx
 from . import graph as gr, retrieval as rt
+from .checkpoints import cut
+from .textindex import TextIndex
 
 #: Chunking policies, text to chunks.
 CHUNKERS: dict[str, Callable[[str | None], list[str]]] = {
@@ -55,18 +57,54 @@ def lexical_intent(question: str) -> Intent:
 @dataclass
 class Graph:
     """The frames that a question runs on: chunks (chunk, text), entities (entity, name, entity_type, mentions), facts (fact, text,
-    fact_type, confidence, chunk), mentions (entity, chunk), about (fact, entity)."""
+    fact_type, confidence, chunk), mentions (entity, chunk), about (fact, entity). Stored with a graph and read by every
+    question: ``ranks`` (entity, rank) and the indexes of both texts; what is absent is made for the first question. Chunks and facts
+    have whole numbers as ids."""
 
     chunks: DataFrame
     entities: DataFrame
     facts: DataFrame
     mentions: DataFrame
     about: DataFrame
+    ranks: DataFrame | None = None
+    indexes: dict[str, TextIndex] = field(default_factory=dict)
 
     def pagerank(self, most: int = 20) -> DataFrame:
-        links = self.about.join(self.facts.select("fact", "confidence"), "fact")
-        edges = gr.co_participation(links, "fact", "entity", F.col("confidence")).select("a", "b", "weight")
-        return gr.pagerank(edges, most=most).select(F.col("node").alias("entity"), "rank")
+        if self.ranks is None:
+            links = self.about.join(self.facts.select("fact", "confidence"), "fact")
+            edges = gr.co_participation(links, "fact", "entity", F.col("confidence")).select("a", "b", "weight")
+            self.ranks = cut(gr.pagerank(edges, most=most).select(F.col("node").alias("entity"), "rank"))
+        return self.ranks
+
+    def index(self, kind: str) -> TextIndex:
+        if kind not in self.indexes:
+            self.indexes[kind] = TextIndex.build({"chunk": self.chunks, "fact": self.facts}[kind], kind, tx.tokenize("text"))
+        return self.indexes[kind]
+
+
+def lexical_list(g: Graph, question: str, kind: str, k: int) -> DataFrame:
+    """(list, query, item, rank, kind): the ``k`` best chunks or facts by BM25 over the question's tokens."""
+    spark = g.chunks.sparkSession
+    asked = spark.createDataFrame([(0, question)], "query long, text string").select("query", F.explode(F.array_distinct(tx.tokenize("text"))).alias("token"))
+    hits = g.index(kind).search(asked, k, "query")
+    return rt.ranked(hits, f"bm25_{kind}", "query", "doc", [F.desc("score"), F.col("doc")], k).select("list", "query", F.col("doc").cast("string").alias("item"), "rank", F.lit(kind).alias("kind"))
+
+
+def matched_entities(g: Graph, intent: Intent) -> DataFrame:
+    """(entity, sim, entity_type): entities of the name, or else with the name in theirs."""
+    words = g.entities.sparkSession.createDataFrame([(w,) for w in intent.entities] or [("",)], "keyword string").where("keyword <> ''")
+    scored = g.entities.join(rt.checked_broadcast(words, 1_000), F.lower("name") == F.lower("keyword")).select("keyword", "entity", F.lit(1.0).alias("sim"))
+    return cut(rt.link_entities(scored, g.entities, words).join(g.entities.select("entity", "entity_type"), "entity"))
+
+
+def expansion_lists(g: Graph, matched: DataFrame, intent: Intent, k: int = 20) -> DataFrame:
+    """(list, query, item, rank, kind): the ``k`` best chunks and facts around matched entities."""
+    near = rt.checked_broadcast(matched.select("entity"), 100_000)
+    about = g.about.join(near, "entity", "left_semi").join(g.facts.select("fact", "fact_type", "confidence"), "fact")
+    grown = rt.expand(matched, g.mentions.join(near, "entity", "left_semi"), about, g.pagerank(), intent.entity_types, intent.fact_types)
+    grown = cut(grown.select(F.lit(0).cast("long").alias("query"), F.col("item").cast("string").alias("item"), "kind", "score"))
+    lists = [rt.ranked(grown.where(F.col("kind") == kind), f"graph_{kind}", "query", "item", [F.desc("score"), F.col("item")], k).withColumn("kind", F.lit(kind)) for kind in ("chunk", "fact")]
+    return lists[0].unionByName(lists[1])
 
 
 def ask(spark: SparkSession, g: Graph, question: str, intent: Intent | None = None, top: int = 30, scorer=None, answer: Callable[[str], str] | None = None, radius: int = 0) -> dict:
@@ -76,24 +114,11 @@ def ask(spark: SparkSession, g: Graph, question: str, intent: Intent | None = No
     reciprocal ranks, exact duplicates collapsed, near facts collapsed, re-ranked.
     """
     intent = (intent or lexical_intent(question)).clipped()
-    query = spark.createDataFrame([(0, question)], "query int, text string").select("query", F.explode(F.array_distinct(tx.tokenize("text"))).alias("token"))
-
-    def lexical(rows: DataFrame, key: str, kind: str, k: int) -> DataFrame:
-        hits = rt.bm25(rt.postings(rows, key, tx.tokenize("text")), query, key, "query")
-        named = hits.select("query", F.col(key).cast("string").alias("item"), "score")
-        return rt.ranked(named, f"bm25_{kind}", "query", "item", [F.desc("score"), F.col("item")], k).withColumn("kind", F.lit(kind))
-
-    words = spark.createDataFrame([(w,) for w in intent.entities] or [("",)], "keyword string").where("keyword <> ''")
-    scored = g.entities.join(rt.checked_broadcast(words, 1_000), F.lower("name") == F.lower("keyword")).select("keyword", "entity", F.lit(1.0).alias("sim"))
-    matched = rt.link_entities(scored, g.entities, words).join(g.entities.select("entity", "entity_type"), "entity")
-    rank = g.pagerank()
-    facts = g.about.join(g.facts.select("fact", "fact_type", "confidence"), "fact")
-    grown = rt.expand(matched, g.mentions, facts, rank, intent.entity_types, intent.fact_types).select(F.lit(0).alias("query"), F.col("item").cast("string").alias("item"), "kind", "score")
-    expanded = rt.ranked(grown.where("kind = 'chunk'"), "graph_chunk", "query", "item", [F.desc("score"), F.col("item")], 20).withColumn("kind", F.lit("chunk")).unionByName(rt.ranked(grown.where("kind = 'fact'"), "graph_fact", "query", "item", [F.desc("score"), F.col("item")], 20).withColumn("kind", F.lit("fact")))
-    lists = lexical(g.chunks, "chunk", "chunk", 20).unionByName(lexical(g.facts, "fact", "fact", 10)).unionByName(expanded)
-    fused = rt.top_k(rt.rrf(lists, ["query", "kind"], "item"), "query", [F.desc("score"), F.desc("n_lists"), F.col("kind"), F.col("item")], 64)
+    matched, rank = matched_entities(g, intent), g.pagerank()
+    lists = lexical_list(g, question, "chunk", 20).unionByName(lexical_list(g, question, "fact", 10)).unionByName(expansion_lists(g, matched, intent))
+    fused = cut(rt.top_k(rt.rrf(lists, ["query", "kind"], "item"), "query", [F.desc("score"), F.desc("n_lists"), F.col("kind"), F.col("item")], 64))
     texts = g.chunks.select(F.col("chunk").cast("string").alias("item"), F.lit("chunk").alias("kind"), "text", F.lit(None).cast("double").alias("confidence")).unionByName(g.facts.select(F.col("fact").cast("string").alias("item"), F.lit("fact").alias("kind"), "text", "confidence"))
-    items = rt.collapse_duplicates(fused.join(texts, ["item", "kind"]), ["query"], "item", "text", "kind")
+    items = rt.collapse_duplicates(texts.join(F.broadcast(fused), ["item", "kind"]), ["query"], "item", "text", "kind")
     kept = rt.rerank(py.collapse_near_facts(items, "query"), scorer, top)
     walk = None
     if radius:  # nodes are named by kind and id: a fact and an entity may have the same number

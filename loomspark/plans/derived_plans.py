@@ -11,7 +11,7 @@ from ..operators import ask, checkpoints, communities as cm, graph as gr, leiden
 from ..sources import exports as ex
 from ..streaming import changelog as cl
 from .graph_plans import part_edges
-from .tables import events, read
+from .tables import events, read, state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -187,17 +187,62 @@ def stream_tumbling(spark, d):
     return out.select("event_type", F.unix_seconds("window_start").alias("window_start"), "n")
 
 
+QUESTION = "what happened to the small ring with that of the onen"
+INTENT = ask.Intent(["small ring"], ["ECONOMY"], ["STATUS"])
+#: The graph of each state of the tables, with its ranks and indexes: made by the first question of a session.
+GRAPHS: dict[tuple, ask.Graph] = {}
+
+
+def knowledge(spark, d):
+    """Documents as chunks, parts as entities, orders as facts about their parts; a document mentions the part of its number."""
+    docs, li = read(spark, d, "documents"), read(spark, d, "lineitem")
+    key = (spark.sparkContext.applicationId, *state(docs), *state(li))
+    if key not in GRAPHS:
+        part = read(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name"), F.col("p_type").alias("entity_type"), F.col("p_size").alias("mentions"))
+        facts = li.groupBy(F.col("l_orderkey").alias("fact")).agg(F.max(1 - F.col("l_discount")).alias("confidence"), F.min("l_partkey").alias("chunk"))
+        facts = facts.select("fact", F.format_string("order %d about the shipment", "fact").alias("text"), F.lit("STATUS").alias("fact_type"), "confidence", "chunk")
+        mentions = docs.select(F.col("doc_id").alias("chunk")).join(part.select("entity"), F.col("chunk") == F.col("entity")).select("entity", "chunk")
+        about = li.select(F.col("l_orderkey").alias("fact"), F.col("l_partkey").alias("entity")).distinct()
+        ranks = about.groupBy("entity").agg(F.count("*").alias("n")).crossJoin(F.broadcast(about.agg(F.count("*").alias("all")))).select("entity", (F.col("n") / F.col("all")).alias("rank"))  # one row
+        GRAPHS[key] = ask.Graph(docs.select(F.col("doc_id").alias("chunk"), "text"), part, facts, mentions, about, checkpoints.cut(ranks))
+    return GRAPHS[key]
+
+
 @query("ask_question")
 def ask_question(spark, d):
-    docs = read(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("chunk"), "text")
-    part = read(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name"), F.col("p_type").alias("entity_type"), F.col("p_size").alias("mentions"))
-    li = read(spark, d, "lineitem")
-    facts = li.groupBy(F.col("l_orderkey").alias("fact")).agg(F.max(1 - F.col("l_discount")).alias("confidence"), F.min("l_partkey").alias("chunk")).select("fact", F.format_string("order %d about the shipment", "fact").alias("text"), F.lit("STATUS").alias("fact_type"), "confidence", "chunk")
-    g = ask.Graph(docs, part, facts, li.select(F.col("l_partkey").alias("entity"), (F.col("l_orderkey") % 1000).alias("chunk")).distinct(), li.select(F.col("l_orderkey").alias("fact"), F.col("l_partkey").alias("entity")).distinct())
-    found = ask.ask(spark, g, "what happened to the small ring with that of the onen", ask.Intent(["small ring"], ["ECONOMY"], ["STATUS"]))
+    found = ask.ask(spark, knowledge(spark, d), QUESTION, INTENT)
     return found["items"].select("item", "kind", F.round("score", 6).alias("score"), "rank")
 
 
+@query("ask_expansion", """
+WITH f AS MATERIALIZED (SELECT l_orderkey AS fact, max(1 - l_discount) AS confidence FROM lineitem GROUP BY 1),
+ab AS MATERIALIZED (SELECT DISTINCT l_orderkey AS fact, l_partkey AS entity FROM lineitem),
+r AS (SELECT entity, count(*) / (SELECT count(*) FROM ab) AS rank FROM ab GROUP BY 1),
+exact AS (SELECT p_partkey AS entity FROM part WHERE lower(p_name) = 'small ring'),
+m AS MATERIALIZED (SELECT entity FROM (SELECT entity FROM exact ORDER BY entity LIMIT 3) UNION SELECT p_partkey FROM part WHERE contains(lower(p_name), 'small ring') AND NOT EXISTS (SELECT * FROM exact)),
+s AS (SELECT m.entity, coalesce(rank, 0.0001) * CASE WHEN p_type = 'ECONOMY' THEN 2.0 ELSE 1.0 END AS base FROM m JOIN part ON p_partkey = m.entity LEFT JOIN r ON r.entity = m.entity),
+g AS (SELECT 'chunk' AS kind, CAST(doc_id AS VARCHAR) AS item, max(base) AS score FROM s JOIN documents ON doc_id = s.entity GROUP BY 2
+UNION ALL SELECT 'fact', CAST(ab.fact AS VARCHAR), max(base * confidence * 2.0) FROM s JOIN ab ON ab.entity = s.entity JOIN f ON f.fact = ab.fact GROUP BY 2)
+SELECT kind, item, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, item) AS rank FROM g) WHERE rank <= 20""")
+def ask_expansion(spark, d):
+    """The lists around matched entities."""
+    g = knowledge(spark, d)
+    return ask.expansion_lists(g, ask.matched_entities(g, INTENT), INTENT).select("kind", "item", "rank")
+
+
+@query("ask_chunks", """
+WITH t AS MATERIALIZED (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_+#.-]+'), lambda x: lower(x)) AS words FROM documents),
+p AS MATERIALIZED (SELECT doc_id, token, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, len(words) AS length, unnest(words) AS token FROM t) GROUP BY 1, 2),
+st AS (SELECT count(*) AS n_docs, avg(length) AS mean_length FROM (SELECT DISTINCT doc_id, length FROM p)),
+df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+q AS (SELECT DISTINCT unnest(string_split('what happened to the small ring with that of the onen', ' ')) AS token),
+sc AS (SELECT doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) AS score FROM q JOIN p USING (token) JOIN df USING (token), st GROUP BY 1)
+SELECT CAST(doc_id AS VARCHAR) AS item, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 20""")
+def ask_chunks(spark, d):
+    """The lexical list of a question over whole documents, words and Han text alike (R2)."""
+    return ask.lexical_list(knowledge(spark, d), QUESTION, "chunk", 20).select("item", "rank")
+
+
 @query("global_points", "SELECT 0 AS batch, 0 AS position, 'a' AS text, 90 AS score UNION ALL SELECT 1, 0, 'c', 40")
 def global_points(spark, d):
     answers = spark.createDataFrame([(0, '```json\n{"points":[{"text":"a","score":90},{"text":"b","score":0}]}\n```'), (1, 'so: {"points":[{"text":"c","score":40},{"text":"","score":7},{"text":"d","score":true}]} ok')], "batch int, answer string")
