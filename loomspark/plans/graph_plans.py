@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as tx, vectors as vx
 from ..operators.checkpoints import cut
-from ..operators import graph as gr, retrieval as rt
+from ..operators import graph as gr, retrieval as rt, similarity as sm
 from ..operators.textindex import TextIndex
 from .tables import events, millis, read, state
 
@@ -205,6 +205,16 @@ def vector_similar_pairs(spark, d):
     return rt.similar_pairs(read(spark, d, "embeddings"), 0.4, 10).withColumn("score", F.round("score", 6))
 
 
+@query("similarity_upkeep", ORACLES["vector_similar_pairs"])
+def similarity_upkeep(spark, d):
+    """Similar pairs of all vectors, brought up to date from those of the vectors before the ones of label 0 came and those of label 1
+    got theirs (they stood for another vector, the negative one): equal to a full run."""
+    e = read(spark, d, "embeddings")
+    before = e.where("label <> 0").select("vec_id", F.when(F.col("label") == 1, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")).alias("embedding"))
+    stored = cut(rt.similar_pairs(before, 0.4, 10))
+    return sm.updated_pairs(stored, e.select("vec_id", "embedding"), e.where("label in (0, 1)"), 0.4, 10).withColumn("score", F.round("score", 6))
+
+
 # ---------------------------------------------------------------- graph
 
 
