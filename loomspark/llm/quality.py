@@ -11,8 +11,9 @@ bad one as bad; after a first fit the lines of bad documents that look good by
 themselves are relabelled (never all of a document) and the field is fitted again.
 
 The model is fitted on the driver from at most ``sample`` labelled documents (the
-least hashes of doc_id) of at most ``MAX_LINES`` lines; scoring covers every
-document and whole texts. Ids, languages, sources and labels are never features.
+least hashes of doc_id) of at most ``longest`` characters, those of more than
+``MAX_LINES`` lines as several chains; scoring covers every document and whole
+texts. Ids, languages, sources and labels are never features.
 
 Defined results: null and empty texts are one empty line; a null ``doc_id`` isn't
 held out and never learnt from; of several labels for one id the least counts;
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Words, buffers, chunks, sequence_names
 
+#: Lines of a training chain.
 MAX_LINES = 64
 _CLASS = np.full(256, 9, np.int64)
 _CLASS[0x61:0x7B] = 0
@@ -193,9 +195,12 @@ def fit(texts: list[str | None], quality: np.ndarray, ridge: float = 1.0, steps:
     worst = np.zeros(len(p), bool)
     worst[np.lexsort((p, doc))[first]] = True
     label = np.where((quality[doc] == 0) & (p > 0.5) & ~worst, 1.0, good)
-    keep = np.flatnonzero(count <= MAX_LINES)
-    padded_x, filled = whole[np.where(np.arange(MAX_LINES) < count[keep][:, None], first[keep][:, None] + np.arange(MAX_LINES), 0)], np.arange(MAX_LINES) < count[keep][:, None]
-    y, _ = _padded(label, first[keep], np.minimum(count[keep], MAX_LINES))
+    pieces = -(-count // MAX_LINES)  # longer documents are several chains
+    begin = np.repeat(first, pieces) + MAX_LINES * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    lines = np.minimum(MAX_LINES, np.repeat(first + count, pieces) - begin)
+    filled = np.arange(MAX_LINES) < lines[:, None]
+    padded_x = whole[np.where(filled, begin[:, None] + np.arange(MAX_LINES), 0)]
+    y, _ = _padded(label, begin, lines)
     y = np.pad(y, ((0, 0), (0, MAX_LINES - y.shape[1])))
     w, move = _logistic(whole, label, np.ones(len(label)), ridge), np.zeros((2, 2))
     pair = filled[:, 1:]

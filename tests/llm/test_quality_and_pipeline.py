@@ -65,6 +65,15 @@ def test_field_learns_and_is_batch_free():
     assert ((odd >= 0) & (odd <= 1)).all()
 
 
+def test_training_documents_of_many_lines():
+    """Documents of over MAX_LINES lines are learnt from too, also where there are no others."""
+    good = ["\n".join(f"the quick brown fox jumps over line {i} of a calm text." for i in range(q.MAX_LINES + n)) for n in range(1, 12)]
+    bad = ["\n".join("!!! $$$ 1234 %%%" for _ in range(2 * q.MAX_LINES + n)) for n in range(1, 12)]
+    field = q.fit([*good, *bad], np.r_[np.ones(11), np.zeros(11)])
+    score = field.score(pa.array([*good, *bad, None, ""], pa.string()))
+    assert np.isfinite(score).all() and score[:11].min() > 0.5 > score[11:22].max()
+
+
 def test_scores(frame, spark):
     texts, labels = training()
     docs = frame([*texts, None, "", (None, "null id"), (3, texts[3])])
