@@ -5,7 +5,7 @@ Candidate strings (runs of key-like characters) are split into a character class
 follows from incremental counts: one character in, one out, changes two terms of
 the sum of ``c * log2(c)``. Windows over the class's bound merge into spans. Names
 of files and hosts, words, identifiers of public kinds (UUIDs, dates, plain
-numbers) and strings overlapping a span already found are on the allow list.
+numbers) are on the allow list; of a candidate that base spans touch, only the rest is looked at.
 
 Defined results: null texts are empty; positions are code points, ends exclusive;
 repeated rows get the same result each; other columns are left alone.
@@ -33,7 +33,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Class: its characters, and bits a character that a window must reach.
 CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+"), 2.9), ("alnum", re.compile(r"[A-Za-z0-9]+"), 3.5), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.7))
-ALLOWED = re.compile(r"""[A-Za-z_-]+|[0-9_+/=-]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?:/?[a-z0-9_-]{1,14}/)+[a-z0-9_-]{0,14}|\d{4}-\d\d-\d\d[T_-].*""")
+ALLOWED = re.compile(r"""[A-Za-z_-]+|[0-9_+/=-]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?:/?[a-z0-9_-]{1,14}/)+[a-z0-9_-]{0,14}|\d{4}-\d\d-\d\d[T_-](?:[A-Za-z_-]*|[0-9Z_+-]*)""")
 _TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -77,10 +77,16 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted(found)
-    for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and e > m.start() for s, _, e in base):
-            found += [(s, 3, e) for s, e in entropy_spans(m[0], m.start())]
+    base, at = sorted((s, e) for s, _, e in found), 0
+    for m in CANDIDATE.finditer(text):  # both ascend: one sweep
+        begin, end = m.span()
+        while begin < end:
+            while at < len(base) and base[at][1] <= begin:
+                at += 1
+            until = min(end, max(begin, base[at][0])) if at < len(base) else end
+            if until - begin >= WINDOW:  # what no base span covers
+                found += [(s, 3, e) for s, e in entropy_spans(text[begin:until], begin)]
+            begin = max(until, base[at][1]) if at < len(base) and base[at][0] < end else end
     return sorted(found)
 
 
