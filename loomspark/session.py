@@ -12,9 +12,9 @@ _SHIPPED: set[str] = set()
 
 
 def build(app: str = "loomspark", cores: int | str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the library assumes (UTC, AQE, Arrow)."""
+    """A local session with the settings the library assumes (UTC, AQE, Arrow, checkpoints that go with their last reference)."""
     b = SparkSession.builder.appName(app).master(f"local[{cores}]")
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"} | {k.replace("__", "."): v for k, v in conf.items()}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"} | {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
