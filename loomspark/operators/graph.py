@@ -105,21 +105,61 @@ def hop(adj: DataFrame, node, visited: dict, importance: DataFrame, decay: float
     return found if known is None else found.where(F.coalesce(F.try_element_at(known, F.col("node")), F.lit(0.0)) < F.col("score"))
 
 
+def shortest_path_steps(adj: DataFrame, source, target, most: int = 4) -> tuple[DataFrame, int] | None:
+    """((hops, node, neighbour), length): the steps that lie on a shortest path, ``hops`` from the source; None if there is no path
+    within ``most`` hops. Layers grow from both ends, always the smaller one, until they meet; then only
+    nodes whose distances to both ends add up to the length take part."""
+    kind = adj.schema["node"].dataType
+    begin = lambda x: cut(adj.sparkSession.range(1).select(F.lit(x).cast(kind).alias("node"), F.lit(0).alias("hops")))
+    seen, depth, size = [begin(source), begin(target)], [0, 0], [1, 1]
+    links = adj.select("node", "neighbour")
+    while True:
+        met = seen[0].join(seen[1].withColumnRenamed("hops", "back"), "node").agg(F.min(F.col("hops") + F.col("back"))).first()[0]
+        if met is not None:
+            break
+        if sum(depth) == most or not all(size):
+            return None
+        side = 0 if size[0] <= size[1] else 1
+        edge = seen[side].where(F.col("hops") == depth[side]).select("node")
+        new = links.join(edge, "node", "left_semi").select(F.col("neighbour").alias("node")).distinct().join(seen[side], "node", "left_anti")
+        depth[side] += 1
+        seen[side] = cut(seen[side].unionByName(new.withColumn("hops", F.lit(depth[side]))))
+        size[side] = seen[side].where(F.col("hops") == depth[side]).count()
+    # a node between the ends is known from at least one of them: the layers are carried on along nodes that fit
+    steps = []
+    on = seen[0].join(seen[1].withColumnRenamed("hops", "back"), "node").where(F.col("hops") + F.col("back") == met).select("node", "hops")
+    middle = cut(on)
+    at = middle
+    for k in range(depth[0], 0, -1):
+        back = links.join(at.where(F.col("hops") == k).select(F.col("node").alias("neighbour")), "neighbour").join(seen[0].where(F.col("hops") == k - 1), "node").select("hops", "node", "neighbour")
+        steps.append(cut(back))
+        at = at.unionByName(steps[-1].select("node", "hops")).distinct()
+    at = middle
+    for k in range(met - depth[0], 0, -1):
+        ahead = links.join(at.where(F.col("hops") == met - k).select("node"), "node").join(seen[1].where(F.col("hops") == k - 1).select(F.col("node").alias("neighbour")), "neighbour")
+        steps.append(cut(ahead.select(F.lit(met - k).alias("hops"), "node", "neighbour")))
+        at = at.unionByName(steps[-1].select(F.col("neighbour").alias("node"), (F.col("hops") + 1).alias("hops"))).distinct()
+    out = steps[0] if steps else links.limit(0).select(F.lit(0).alias("hops"), "node", "neighbour")
+    for more in steps[1:]:
+        out = out.unionByName(more)
+    return cut(out.distinct()), met
+
+
 def shortest_paths(adj: DataFrame, source, target, most: int = 4, every: bool = False, cap: int = 50) -> DataFrame:
-    """(path, hops) of the shortest paths (one, or all up to ``cap``) within ``most`` hops."""
-    node_type = adj.schema["node"].dataType
-    paths = adj.sparkSession.range(1).select(F.array(F.lit(source).cast(node_type)).alias("path"))
-    if source == target:
-        return paths.withColumn("hops", F.lit(0))
-    for n in range(1, most + 1):
+    """(path, hops) of the shortest paths (the smallest, or the first ``cap`` of all) within ``most`` hops; put together from
+    steps of shortest paths alone."""
+    kind = adj.schema["node"].dataType
+    paths = adj.sparkSession.range(1).select(F.array(F.lit(source).cast(kind)).alias("path"))
+    found = shortest_path_steps(adj, source, target, most)
+    if found is None:
+        return paths.limit(0).withColumn("hops", F.lit(0))
+    steps, length = found
+    for k in range(length):
         ends = paths.withColumn("node", F.element_at("path", -1))
-        grown = ends.join(adj.select("node", "neighbour"), "node").where(~F.array_contains("path", F.col("neighbour"))).select(F.concat("path", F.array("neighbour")).alias("path"))
-        grown = cut(grown if every else grown.groupBy(F.element_at("path", -1).alias("__end")).agg(F.min("path").alias("path")).select("path"))
-        found = grown.where(F.element_at("path", -1) == F.lit(target))
-        if not found.isEmpty():
-            return found.orderBy("path").limit(cap if every else 1).withColumn("hops", F.lit(n))
-        paths = grown
-    return paths.limit(0).withColumn("hops", F.lit(0))
+        grown = ends.join(steps.where(F.col("hops") == k).select("node", "neighbour"), "node").select(F.concat("path", F.array("neighbour")).alias("path"))
+        # of paths of one length the first ``cap`` begin with the first ``cap`` of each of their nodes
+        paths = cut(top_k(grown.withColumn("__end", F.element_at("path", -1)), "__end", [F.col("path")], cap if every else 1).select("path"))
+    return paths.orderBy("path").limit(cap if every else 1).withColumn("hops", F.lit(length))
 
 
 def distances(adj: DataFrame, source, most: int = 4) -> DataFrame:

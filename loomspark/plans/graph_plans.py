@@ -267,6 +267,21 @@ def part_edges(spark, d):
 PR = "\n".join(f", r{i} AS MATERIALIZED (SELECT h.dst AS node, 0.15 / n.n + 0.85 * sum(r{i - 1}.rank * h.share) AS rank FROM h JOIN r{i - 1} ON r{i - 1}.node = h.src, n GROUP BY h.dst, n.n)" for i in range(1, 11))
 
 
+@query("all_shortest_paths", f"""WITH {EDGES}, d AS MATERIALIZED (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
+ends AS (SELECT 1 AS source, (SELECT max(x) FROM d) AS target),
+p1 AS MATERIALIZED (SELECT [x, y] AS path FROM d, ends WHERE x = source AND y = target),
+p2 AS MATERIALIZED (SELECT [m.x, m.y, n.y] AS path FROM d m JOIN d n ON n.x = m.y, ends WHERE m.x = source AND n.y = target AND NOT EXISTS (SELECT * FROM p1)),
+p3 AS MATERIALIZED (SELECT [m.x, m.y, n.y, o.y] AS path FROM d m JOIN d n ON n.x = m.y JOIN d o ON o.x = n.y, ends WHERE m.x = source AND o.y = target AND NOT EXISTS (SELECT * FROM p1) AND NOT EXISTS (SELECT * FROM p2)),
+p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)
+SELECT array_to_string(path, '-') AS path, CAST(len(path) - 1 AS INTEGER) AS hops FROM p""")
+def all_shortest_paths(spark, d):
+    """Every shortest way of shared orders from the first part to the last."""
+    edges = cut(part_edges(spark, d))
+    last = edges.agg(F.max("b")).first()[0]
+    found = gr.shortest_paths(gr.adjacency(edges, "a", "b"), 1, last, most=3, every=True, cap=1_000_000)
+    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"), "hops")
+
+
 @query("pagerank_k", f"""WITH {EDGES}, d AS (SELECT a AS src, b AS dst, weight FROM e UNION ALL SELECT b, a, weight FROM e), o AS (SELECT src, sum(weight) AS total FROM d GROUP BY 1), h AS MATERIALIZED (SELECT d.src, d.dst, d.weight / o.total AS share FROM d JOIN o ON o.src = d.src), n AS (SELECT count(*) AS n FROM o),
 r0 AS (SELECT src AS node, 1.0 / n.n AS rank FROM o, n) {PR} SELECT node, round(rank, 6) AS rank FROM r10""")
 def pagerank_k(spark, d):
