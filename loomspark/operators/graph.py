@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as tx
 from .checkpoints import cut
 from .retrieval import top_k
+from .setjoin import jaccard_pairs
 
 # Edge types that paths may use, and the hub guard of the community graph.
 PATH_EDGES = ("ABOUT", "ENTITY_SIMILAR", "FACT_SIMILAR")
@@ -229,29 +230,30 @@ def entity_similarity(pairs: DataFrame, chunks_of: DataFrame, least: float = 0.4
     return both.withColumn("hybrid", hybrid).where(F.col("hybrid") >= least).select("a", "b", "hybrid")
 
 
-def disambiguation_candidates(entities: DataFrame, similar: DataFrame, chars: float = 0.3, structure: float = 0.3, busiest: int = 500, short: int = 6, largest_block: int = 200) -> DataFrame:
-    """(a < b) from five blockers over (entity, name, mentions, messages): sound, initials, shared characters of short
-    names, vectors (``similar`` (a, b)), and shared messages of the busiest. Blocks meet on a key; larger ones of sound and
-    initials than ``largest_block`` say nothing and are left out. Shared characters have no such bound."""
+def disambiguation_candidates(
+    entities: DataFrame, similar: DataFrame, chars: int = 30, structure: int = 30, busiest: int = 500, short: int = 5, sound: int = 20, initials: int = 10
+) -> DataFrame:
+    """(a < b) from five blockers over (entity, name, messages): sound, initials of two words and more, at least ``chars`` percent
+    of the characters in common between names of 2 to ``short``, vectors (``similar`` (a, b)), and ``structure`` percent of the messages, three at least,
+    in common between the ``busiest`` entities by messages. More than ``sound`` entities of one sound, or ``initials`` of the same
+    initials, say nothing about each other and make no pairs: these two bounds are the feature's own; no other blocker has one."""
     key = tx.phonetic_key("name")
-    e = entities.select("entity", "name", "messages", "mentions", key["full"].alias("full"), key["initials"].alias("initials"))
+    e = entities.select("entity", "name", "messages", key["full"].alias("full"), key["initials"].alias("initials"))
 
-    def block(rows: DataFrame, on: str, most: int | None = largest_block) -> DataFrame:
-        rows = rows.where(F.col(on).isNotNull() & (F.col(on) != "")).select("entity", "name", on).distinct()
-        n = F.col("n")
-        sized = rows.join(rows.groupBy(on).agg(F.count("*").alias("n")).where(n > 1 if most is None else n.between(2, most)).select(on), on, "left_semi")
-        return sized.select(on, F.col("entity").alias("a"), F.col("name").alias("name_a")).join(sized.select(on, F.col("entity").alias("b"), F.col("name").alias("name_b")), on).where("a < b")
+    def block(rows: DataFrame, on: str, most: int) -> DataFrame:
+        rows = rows.where(F.col(on) != "").select("entity", on).distinct()
+        sized = rows.join(rows.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select(on), on, "left_semi")
+        return sized.select(on, F.col("entity").alias("a")).join(sized.select(on, F.col("entity").alias("b")), on).where("a < b").select("a", "b")
 
-    letters = e.where(F.length("name") <= short).select("entity", "name", F.explode(F.array_distinct(F.split("name", ""))).alias("letter"))
+    letters = e.where(F.length("name").between(2, short)).select("entity", F.filter(F.split("name", ""), lambda x: x != "").alias("letters"))
+    busy = e.where(F.size("messages") >= 3).orderBy(F.desc(F.size("messages")), "entity").limit(busiest)
     found = [
-        block(e, "full").select("a", "b"), block(e.where(F.length("initials") > 1), "initials").select("a", "b"),
-        block(letters, "letter", None).where(tx.char_jaccard("name_a", "name_b") >= chars).select("a", "b"), similar.select("a", "b"),
+        block(e, "full", sound), block(e.where(F.length("initials") > 1), "initials", initials), similar.select("a", "b"),
+        jaccard_pairs(letters, chars, "entity", "letters").select("a", "b"), jaccard_pairs(busy, structure, "entity", "messages").where("shared >= 3").select("a", "b"),
     ]
-    busy = e.orderBy(F.desc("mentions"), "entity").limit(busiest).select("entity", "name", "messages", F.explode("messages").alias("message"))
-    shared = busy.select("message", F.col("entity").alias("a"), F.col("messages").alias("ma")).join(busy.select("message", F.col("entity").alias("b"), F.col("messages").alias("mb")), "message").where("a < b").where(tx.structural_jaccard("ma", "mb") >= structure)
-    out = shared.select("a", "b")
-    for f in found:
-        out = out.unionByName(f)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out.distinct()
 
 

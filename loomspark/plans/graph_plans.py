@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as tx, vectors as vx
 from ..operators.checkpoints import cut
-from ..operators import graph as gr, retrieval as rt, similarity as sm
+from ..operators import graph as gr, retrieval as rt, setjoin as sj, similarity as sm
 from ..operators.textindex import TextIndex
 from .tables import events, millis, read, state
 
@@ -359,32 +359,40 @@ def churn_gate(spark, d):
 
 
 @query("entity_similarity", f"""
-WITH c AS (SELECT p_partkey AS e, list_distinct(list(l_orderkey)) AS k FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_partkey < 500 GROUP BY 1),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b, {COS} AS cos FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 200 AND b.vec_id < 200),
+WITH c AS (SELECT l_partkey AS e, list_distinct(list(l_orderkey)) AS k FROM lineitem GROUP BY 1),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, {COS} AS cos FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id),
 h AS (SELECT p.a, p.b, cos, len(list_intersect(x.k, y.k)) AS i, len(x.k) AS nx, len(y.k) AS ny FROM p JOIN c x ON x.e = p.a JOIN c y ON y.e = p.b WHERE cos >= 0.3)
 SELECT a, b, round(0.3 * cos + 0.4 * i / (nx + ny - i) + 0.3 * i / least(nx, ny), 6) AS hybrid FROM h WHERE 0.3 * cos + 0.4 * i / (nx + ny - i) + 0.3 * i / least(nx, ny) >= 0.1""")
 def entity_similarity(spark, d):
-    pairs = rt.similar_pairs(read(spark, d, "embeddings").where("vec_id < 200"), 0.3, 1_000_000).withColumnRenamed("score", "cos")
-    chunks = read(spark, d, "lineitem").where("l_partkey < 500").groupBy(F.col("l_partkey").alias("entity")).agg(F.collect_set("l_orderkey").alias("chunks"))
+    pairs = rt.similar_pairs(read(spark, d, "embeddings"), 0.3, 1_000_000).withColumnRenamed("score", "cos")
+    chunks = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("entity")).agg(F.collect_set("l_orderkey").alias("chunks"))
     return gr.entity_similarity(pairs, chunks, 0.1).withColumn("hybrid", F.round("hybrid", 6))
 
 
-NAMES = "n AS MATERIALIZED (SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY p_name)"
+@query("edit_similarity", """
+WITH n AS (SELECT DISTINCT p_name AS name FROM part)
+SELECT a.name AS a, b.name AS b, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS similarity
+FROM n a JOIN n b ON a.name < b.name WHERE 100 * levenshtein(a.name, b.name) <= 40 * greatest(length(a.name), length(b.name))""")
+def edit_similarity(spark, d):
+    return sj.edit_pairs(read(spark, d, "part"), 60, "p_name").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("edit_similarity", f"WITH {NAMES} SELECT a.name AS a, b.name AS b, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS similarity FROM n a JOIN n b ON a.name < b.name AND substr(a.name, 1, 1) = substr(b.name, 1, 1)")
-def edit_similarity(spark, d):
-    n = read(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
-    m = n.select(F.col("a").alias("b"))
-    return n.join(m, F.substring("a", 1, 1) == F.substring("b", 1, 1)).where("a < b").select("a", "b", F.round(tx.edit_similarity("a", "b"), 6).alias("similarity"))
+@query("similar_full_names", """
+WITH n AS (SELECT DISTINCT p_name || ' ' || p_brand || ' ' || p_type AS name FROM part)
+SELECT a.name AS a, b.name AS b, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS similarity
+FROM n a JOIN n b ON a.name < b.name WHERE 100 * levenshtein(a.name, b.name) <= 10 * greatest(length(a.name), length(b.name))""")
+def similar_full_names(spark, d):
+    names = read(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"))
+    return sj.edit_pairs(names, 90).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("char_jaccard", f"""WITH {NAMES}, c AS (SELECT name, list_distinct(string_split(name, '')) AS s FROM n)
-SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity FROM c a JOIN c b ON a.name < b.name AND substr(a.name, 1, 1) = substr(b.name, 1, 1)""")
+@query("char_jaccard", """
+WITH c AS (SELECT DISTINCT p_name AS name, list_distinct(string_split(p_name, '')) AS s FROM part)
+SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity
+FROM c a JOIN c b ON a.name < b.name WHERE 100 * len(list_intersect(a.s, b.s)) >= 60 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""")
 def char_jaccard(spark, d):
-    n = read(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
-    m = n.select(F.col("a").alias("b"))
-    return n.join(m, F.substring("a", 1, 1) == F.substring("b", 1, 1)).where("a < b").select("a", "b", F.round(tx.char_jaccard("a", "b"), 6).alias("similarity"))
+    names = read(spark, d, "part").select("p_name").distinct().withColumn("letters", F.filter(F.split("p_name", ""), lambda x: x != ""))
+    return sj.jaccard_pairs(names, 60, "p_name", "letters").select("a", "b", F.round("jaccard", 6).alias("similarity"))
 
 
 @query("normalize_query", "SELECT item_id, trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS form FROM benchmark")
@@ -423,13 +431,48 @@ def rule_entities(spark, d):
     return rows.where("e.entity_type = 'Person'").select("doc_id", "e.name")
 
 
-@query("disambiguation_blocks", """
-WITH n AS (SELECT DISTINCT p_brand AS name FROM part), k AS (SELECT name, lower(regexp_replace(name, '\\s+', '', 'g')) AS full FROM n), i AS (SELECT name, substr(lower(name), 1, 1) AS initials FROM n)
-SELECT count(*) AS n FROM (SELECT a.name, b.name FROM k a JOIN k b ON a.full = b.full AND a.name < b.name)""")
+#: Parts as entities: orders are their messages, suppliers their conversations; pairs from all five blockers.
+PART_PAIRS = f"""e AS MATERIALIZED (SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_size AS name FROM part),
+k AS MATERIALIZED (SELECT id, name, replace(lower(name), ' ', '') AS sound, array_to_string(list_transform(string_split(lower(name), ' '), lambda w: w[1]), '') AS initials FROM e),
+m AS MATERIALIZED (SELECT l_partkey AS id, list(DISTINCT l_orderkey) AS m, list(DISTINCT l_suppkey) AS c FROM lineitem GROUP BY 1),
+s AS (SELECT m.id, m FROM m JOIN e ON e.id = m.id WHERE len(m) >= 3 ORDER BY len(m) DESC, m.id LIMIT 500),
+g1 AS (SELECT sound FROM k GROUP BY sound HAVING count(*) BETWEEN 2 AND 20), g2 AS (SELECT initials FROM k GROUP BY initials HAVING count(*) BETWEEN 2 AND 10),
+p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM k a JOIN g1 ON g1.sound = a.sound JOIN k b ON a.sound = b.sound AND a.id < b.id
+UNION SELECT a.id, b.id FROM k a JOIN g2 ON g2.initials = a.initials JOIN k b ON a.initials = b.initials AND a.id < b.id
+UNION SELECT a.vec_id, b.vec_id FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COS} >= 0.3
+UNION SELECT a.id, b.id FROM s a JOIN s b ON a.id < b.id WHERE len(list_intersect(a.m, b.m)) >= 3 AND 100 * len(list_intersect(a.m, b.m)) >= 30 * (len(a.m) + len(b.m) - len(list_intersect(a.m, b.m))))"""
+
+
+def part_entities(spark, d):
+    sold = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("entity")).agg(F.collect_set("l_orderkey").alias("messages"), F.collect_set("l_suppkey").alias("conversations"))
+    names = read(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string")).alias("name"))
+    none = F.array().cast("array<long>")
+    return names.join(sold, "entity", "left").withColumns({c: F.coalesce(c, none) for c in ("messages", "conversations")})
+
+
+def part_pairs(spark, d, entities):
+    return gr.disambiguation_candidates(entities, rt.similar_pairs(read(spark, d, "embeddings"), 0.3, 1_000_000))
+
+
+@query("disambiguation_blocks", f"WITH {PART_PAIRS} SELECT a, b FROM p")
 def disambiguation_blocks(spark, d):
-    e = read(spark, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("entity"), F.count("*").alias("mentions")).withColumn("messages", F.array().cast("array<long>"))
-    none = e.limit(0).select(F.col("entity").alias("a"), F.col("entity").alias("b"))
-    return gr.disambiguation_candidates(e, none, chars=2.0).agg(F.count("*").alias("n"))
+    return part_pairs(spark, d, part_entities(spark, d))
+
+
+@query("disambiguation_scores", f"""WITH {PART_PAIRS},
+x AS (SELECT p.a, p.b, ka.sound AS sa, kb.sound AS sb, list_distinct(string_split(ka.name, '')) AS la, list_distinct(string_split(kb.name, '')) AS lb,
+coalesce(ma.m, []) AS ma, coalesce(mb.m, []) AS mb, coalesce(ma.c, []) AS ca, coalesce(mb.c, []) AS cb, coalesce({COS.replace("a.", "va.").replace("b.", "vb.")}, 0) AS cos
+FROM p JOIN k ka ON ka.id = p.a JOIN k kb ON kb.id = p.b LEFT JOIN m ma ON ma.id = p.a LEFT JOIN m mb ON mb.id = p.b LEFT JOIN embeddings va ON va.vec_id = p.a LEFT JOIN embeddings vb ON vb.vec_id = p.b),
+y AS (SELECT a, b, 1 - levenshtein(sa, sb) / greatest(length(sa), length(sb)) AS sound, len(list_intersect(la, lb)) AS i, len(la) + len(lb) AS u, len(list_intersect(ma, mb)) AS im, len(ma) + len(mb) AS um,
+len(list_intersect(ca, cb)) AS ic, least(len(ca), len(cb)) AS uc, cos FROM x),
+z AS (SELECT a, b, 0.25 * sound + 0.2 * i / (u - i) + 0.15 * cos + 0.25 * (CASE WHEN im >= 3 THEN im / (um - im) ELSE 0 END) + 0.15 * (CASE WHEN ic >= 2 THEN ic / uc ELSE 0 END) AS score FROM y)
+SELECT a, b, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'link' WHEN score < 0.3 THEN 'reject' ELSE 'judge' END AS verdict FROM z""")
+def disambiguation_scores(spark, d):
+    entities = cut(part_entities(spark, d))
+    pairs = cut(part_pairs(spark, d, entities))
+    side = lambda s: read(spark, d, "embeddings").select(F.col("vec_id").alias(s), F.col("embedding").alias(f"v{s}"))
+    cosines = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", vx.cosine("va", "vb").alias("cos"))
+    return gr.disambiguation_scores(pairs, entities, cosines).withColumn("score", F.round("score", 6))
 
 
 @query("graph_walk_r2")
