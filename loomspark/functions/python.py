@@ -5,7 +5,9 @@ from __future__ import annotations
 import difflib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -45,26 +47,33 @@ def _segments(text: str, delimiters: tuple[str, ...]) -> Iterator[str]:
     yield text[begin:]
 
 
+def _spans(sizes: Iterable[int], budget: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of chunks over segments of these sizes that follow each other. A chunk ends with the last segment that ends within
+    ``budget`` of its begin, and has one new segment at least; the next one begins ``overlap`` before that end, but not before this one."""
+    ends = list(accumulate(sizes))
+    begin = done = 0
+    while done < len(ends):
+        done = max(done + 1, bisect_right(ends, begin + budget))
+        yield begin, ends[done - 1]
+        begin = max(begin, ends[done - 1] - overlap)
+
+
 def chunk_text(text: str | None, budget: int = DOCUMENT_CHARS, overlap: int = 0, headings: bool = True, delimiters: tuple[str, ...] = DELIMITERS) -> list[str]:
     """Chunks of at most ``budget`` characters (and the overlap): headings of the first two levels begin one,
     then segments fill chunks in order; a segment over the budget is cut by length, in chunks of its own."""
     out: list[str] = []
     for section in re.split(r"(?m)^(?=#{1,2}\s)", text or "") if headings else [text or ""]:
-        if len(section.strip()) <= budget:
-            out.append(section)
-            continue
-        held = ""
-        for segment in filter(str.strip, _segments(section, delimiters)):
-            if len(segment) > budget:
-                out += [held, *(segment[i : i + budget] for i in range(0, len(segment), budget))]
-                held = ""
-            elif held and len(held) + len(segment) > budget:
-                out.append(held)
-                held = (held[-overlap:] if overlap else "") + segment
+        whole = len(section.strip()) <= budget
+        segments = [section] if whole else [s for s in _segments(section, delimiters) if s.strip()]
+        for long, run in groupby(segments, lambda s: not whole and len(s) > budget):
+            parts = list(run)
+            body = "".join(parts)
+            if long:
+                spans = ((at, min(at + budget, end)) for part, end in zip(parts, accumulate(map(len, parts)), strict=True) for at in range(end - len(part), end, budget))
             else:
-                held += segment
-        out.append(held)
-    return [c.strip() for c in out if c.strip()]
+                spans = _spans(map(len, parts), budget, overlap)
+            out += (body[i:j].strip() for i, j in spans)
+    return [c for c in out if c]
 
 
 def delimiters_of(spec: str) -> tuple[list[str], list[str]]:

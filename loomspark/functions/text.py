@@ -162,6 +162,10 @@ def facets_similar(a: Column | str, b: Column | str, least_ratio: float = 0.5, l
 # Marks that end a mention, and mentions of everyone.
 MARKS = "，。！？：、,.!?:；;"
 BROADCASTS = ("所有人", "全体成员", "全体", "all", "here", "everyone", "channel")
+# Patterns of opaque ids (a known prefix; a long run of mixed letters and digits), and of what no id has.
+ID_PREFIX = r"^(lQ|lA)[A-Za-z0-9_-]{18,}$"
+ID_BLOB = r"^(?=.*[a-z])(?=.*[A-Z])(?=.*\d)[A-Za-z0-9]{20,}$"
+HAN = r"[\u4e00-\u9fff]"
 
 
 def clean_mention(name: Column | str) -> Column:
@@ -171,8 +175,8 @@ def clean_mention(name: Column | str) -> Column:
 
 
 def is_media_id(text: Column) -> Column:
-    """Whether a name is an opaque id: a known prefix, or a long run of mixed letters and digits without separators."""
-    return ~text.rlike("[\u4e00-\u9fff]") & text.rlike(r"^l[QA][A-Za-z0-9_-]{18,}$|^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9]{20,}$")
+    """Whether a name is an opaque id and not one of a person."""
+    return ~text.rlike(HAN) & (text.rlike(ID_PREFIX) | text.rlike(ID_BLOB))
 
 
 def media_ids(text: Column | str) -> Column:
