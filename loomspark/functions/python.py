@@ -155,18 +155,6 @@ def collapse_near_facts(items: DataFrame, key: str, threshold: float = 0.9, most
     return items.where(F.col("rank") <= most).groupBy(key).applyInArrow(run, items.schema).unionByName(items.where(F.col("rank") > most))
 
 
-def pack_batches(df: DataFrame, key: str, order: str, size: str, budget: int, drop_oversized: bool = True) -> DataFrame:
-    """K5: ``batch`` of each row, filled in order within the key."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        bins = pack(table[size].to_pylist(), budget, drop_oversized)
-        keep = pa.array([b is not None for b in bins], pa.bool_())
-        return table.append_column("batch", pa.array(bins, pa.int64())).filter(keep)
-
-    return df.groupBy(key).applyInArrow(run, T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())]))
-
-
 def slice_sessions(df: DataFrame, keys: list[str], order: list[str], text: str, header: str, node: str, budget: int = SLICE_TOKENS) -> DataFrame:
     """Whole messages of a session packed into slices of ``budget`` estimated tokens; a longer message is split, later
     parts marked as continued. (keys, slice, slice_id, members, content)."""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import python as py, text as tx
-from ..operators import ask, checkpoints, communities as cm, graph as gr, leiden as ld, persona as ps, retrieval as rt
+from ..operators import ask, checkpoints, communities as cm, graph as gr, leiden as ld, packing as pk, persona as ps, retrieval as rt
 from ..sources import exports as ex
 from ..streaming import changelog as cl
 from .graph_plans import part_edges
@@ -46,7 +46,7 @@ r(source, doc_id, i, batch, used) AS (SELECT source, doc_id, i, 0::BIGINT, token
 SELECT source, doc_id, batch FROM r""")
 def pack_batches(spark, d):
     rows = read(spark, d, "documents").select("source", "doc_id", F.ceil(F.col("n_chars") / 1.5).alias("tokens"))
-    return py.pack_batches(rows, "source", "doc_id", "tokens", 6800).select("source", "doc_id", "batch")
+    return pk.pack_batches(rows, "source", "doc_id", "tokens", 6800).select("source", "doc_id", "batch")
 
 
 @query("message_slices")
