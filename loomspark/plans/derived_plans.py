@@ -127,7 +127,23 @@ def leiden_upkeep(spark, d):
     return spark.createDataFrame([row], "q double, q_full double, n_worked long, n_nodes long")
 
 
-@query("identity_lineage")
+@query("identity_lineage", """
+WITH RECURSIVE x AS (SELECT c_nationkey AS n, o_custkey AS node, o_orderdate AS day FROM orders JOIN customer ON c_custkey = o_custkey),
+o AS MATERIALIZED (SELECT DISTINCT 'n' || n AS identity, node FROM x WHERE day < '1998-01-01'), w AS MATERIALIZED (SELECT DISTINCT CAST(n * 10 AS VARCHAR) AS cid, node FROM x WHERE day >= '1997-01-01'),
+so AS (SELECT identity, count(*) AS n_old FROM o GROUP BY 1), sn AS (SELECT cid, count(*) AS n_new FROM w GROUP BY 1),
+p AS MATERIALIZED (SELECT cid, identity, common, n_new, n_old FROM (SELECT cid, identity, count(*) AS common FROM w JOIN o USING (node) GROUP BY 1, 2) JOIN so USING (identity) JOIN sn USING (cid)),
+g AS MATERIALIZED (SELECT cid, identity, row_number() OVER (ORDER BY common / (n_new + n_old - common) DESC, common DESC, identity, cid) AS i FROM p
+WHERE common >= 2 AND (common / (n_new + n_old - common) >= 0.3 OR common / least(n_new, n_old) >= 0.5)),
+r(i, new, old) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[] UNION ALL
+SELECT g.i, CASE WHEN free THEN list_append(new, cid) ELSE new END, CASE WHEN free THEN list_append(old, identity) ELSE old END
+FROM (SELECT g.i, g.cid, g.identity, r.new, r.old, NOT list_contains(r.new, g.cid) AND NOT list_contains(r.old, g.identity) AS free FROM r JOIN g ON g.i = r.i + 1) g),
+f AS MATERIALIZED (SELECT unnest(new) AS cid, unnest(old) AS identity FROM (SELECT new, old FROM r ORDER BY i DESC LIMIT 1)),
+s AS (SELECT cid, count(*) AS n_sources FROM p WHERE common >= 2 AND 2 * common >= n_old GROUP BY 1), t AS (SELECT identity, count(*) AS n_targets FROM p WHERE common >= 2 AND 2 * common >= n_new GROUP BY 1),
+h AS (SELECT cid, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('run-2:0:' || cid)) AS h FROM sn)
+SELECT 0 AS level, sn.cid, coalesce(f.identity, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', h[17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32]) AS identity,
+CASE WHEN f.identity IS NULL THEN 'born' WHEN n_sources > 1 THEN 'merged' WHEN n_targets > 1 THEN 'split' WHEN n_new > n_old THEN 'grown' WHEN n_new < n_old THEN 'shrunk' ELSE 'continued' END AS event
+FROM sn JOIN h ON h.cid = sn.cid LEFT JOIN f ON f.cid = sn.cid LEFT JOIN so ON so.identity = f.identity LEFT JOIN s ON s.cid = sn.cid LEFT JOIN t ON t.identity = f.identity
+UNION ALL SELECT 0, NULL, so.identity, 'died' FROM so ANTI JOIN f ON f.identity = so.identity""")
 def identity_lineage(spark, d):
     o = read(spark, d, "orders").join(read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     old = o.where("o_orderdate < '1998-01-01'").select(F.lit(0).alias("level"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("identity"), F.col("o_custkey").alias("node")).distinct()
