@@ -259,7 +259,14 @@ def ask_chunks(spark, d):
     return ask.lexical_list(knowledge(spark, d), QUESTION, "chunk", 20).select("item", "rank")
 
 
-@query("global_points", "SELECT 0 AS batch, 0 AS position, 'a' AS text, 90 AS score UNION ALL SELECT 1, 0, 'c', 40")
+@query("global_points", """
+WITH t AS (SELECT conv_id, turn, trim(text) AS text, length(text) % 101 AS score FROM conversations WHERE trim(text) <> '')
+SELECT conv_id AS batch, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS position, text, CAST(score AS INTEGER) AS score FROM t QUALIFY score > 0""")
 def global_points(spark, d):
-    answers = spark.createDataFrame([(0, '```json\n{"points":[{"text":"a","score":90},{"text":"b","score":0}]}\n```'), (1, 'so: {"points":[{"text":"c","score":40},{"text":"","score":7},{"text":"d","score":true}]} ok')], "batch int, answer string")
+    """Each conversation's turns as a rater's answer: the points in a fenced block or amid prose."""
+    turns = read(spark, d, "conversations").select("conv_id", F.struct("turn", "text", (F.length("text") % 101).alias("score")).alias("p"))
+    points = F.transform(F.array_sort(F.collect_list("p")), lambda p: F.struct(p["text"].alias("text"), p["score"].alias("score")))  # a conversation's turns
+    made = turns.groupBy(F.col("conv_id").alias("batch")).agg(F.to_json(F.struct(points.alias("points"))).alias("json"))
+    fenced = F.concat(F.lit("```json\n"), "json", F.lit("\n```"))
+    answers = made.select("batch", F.when(F.col("batch") % 2 == 0, fenced).otherwise(F.concat(F.lit("so: "), "json", F.lit(" ok"))).alias("answer"))
     return rt.global_points(answers)

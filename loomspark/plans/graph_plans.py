@@ -318,12 +318,18 @@ def typed_neighbors(spark, d):
     return gr.neighbours(e, spark.createDataFrame([(1,), (2,), (3,)], "node long"), "out", ["A", "R"])
 
 
-@query("community_edges", """
-WITH ab AS (SELECT l_orderkey AS a, 100000000 + l_partkey AS b, max(1 - l_discount) AS weight FROM lineitem GROUP BY 1, 2), dg AS (SELECT b FROM ab GROUP BY b HAVING count(*) <= 30)
-SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(weight), 6) AS weight FROM ab WHERE b IN (SELECT b FROM dg) GROUP BY 1, 2""")
+@query("community_edges", f"""
+WITH ab AS (SELECT l_orderkey AS a, 100000000 + l_partkey AS b, max(1 - l_discount) AS weight FROM lineitem GROUP BY 1, 2), dg AS (SELECT b FROM ab GROUP BY b HAVING count(*) <= 30),
+v AS (SELECT 100000000 + a.vec_id AS a, 100000000 + b.vec_id AS b, {COS} AS weight FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COS} >= 0.3),
+f AS (SELECT o.o_orderkey AS a, p.o_orderkey AS b, 0.9 AS weight FROM orders o JOIN orders p ON o.o_custkey = p.o_custkey AND o.o_orderdate = p.o_orderdate AND o.o_orderkey < p.o_orderkey)
+SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(weight), 6) AS weight FROM (SELECT * FROM ab WHERE b IN (SELECT b FROM dg) UNION ALL SELECT * FROM v UNION ALL SELECT * FROM f) GROUP BY 1, 2""")
 def community_edges(spark, d):
+    """Parts that are near as vectors, a customer's orders of one moment, and orders that hold a part."""
     about = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100_000_000).alias("b")).agg(F.max(1 - F.col("l_discount")).alias("weight"))
-    return gr.community_edges(about.limit(0), about.limit(0), about, 30).withColumn("weight", F.round("weight", 6))
+    near = rt.similar_pairs(read(spark, d, "embeddings"), 0.3, 1_000_000).select((F.col("a") + 100_000_000).alias("a"), (F.col("b") + 100_000_000).alias("b"), F.col("score").alias("weight"))
+    o = read(spark, d, "orders").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("a"))
+    facts = o.join(o.withColumnRenamed("a", "b"), ["o_custkey", "o_orderdate"]).where("a < b").select("a", "b", F.lit(0.9).alias("weight"))
+    return gr.community_edges(near, facts, about, 30).withColumn("weight", F.round("weight", 6))
 
 
 @query("edge_dedup", "SELECT o_orderpriority AS edge_type, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderpriority, o_orderstatus FROM orders) GROUP BY 1")
@@ -499,7 +505,9 @@ def entity_timeline(spark, d):
     return gr.timeline(facts, 10, 0, since=852_076_800_000)
 
 
-@query("chunk_read")
+@query("chunk_read", """
+WITH asked AS (SELECT CAST(i - 1 AS INTEGER) AS position, CAST(([5, 1, -4, 5, 0])[i] AS BIGINT) AS doc_id FROM range(1, 6) t(i))
+SELECT position, a.doc_id, lang, d.doc_id IS NOT NULL AS found FROM asked a LEFT JOIN documents d ON d.doc_id = a.doc_id""")
 def chunk_read(spark, d):
     return gr.in_request_order(read(spark, d, "documents").select("doc_id", "lang"), [5, 1, -4, 5, 0], "doc_id").select("position", "doc_id", "lang", "found")
 

@@ -131,10 +131,10 @@ def directed_facts_for_day(spark, d):
     return rows.where(F.col("c_nationkey").isin(1, 2, 3) & F.col("c_custkey").isNotNull() & ~F.col("c_custkey").isin(1, 2)).select("o_orderkey", F.col("c_name").alias("requester"), F.col("n_name").alias("place"))
 
 
-@query("unseen_units", "SELECT event_id, user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events k WHERE k.user_id = e.user_id AND k.event_type = 'signup' AND k.event_id < 5000)")
+@query("unseen_units", "SELECT event_id, user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events k WHERE k.user_id = e.user_id AND k.event_type = 'signup' AND k.value > 150)")
 def unseen_units(spark, d):
-    e = read(spark, d, "events").select("event_id", "user_id", "event_type")
-    return e.join(e.where("event_type = 'signup' and event_id < 5000").select("user_id").distinct(), "user_id", "left_anti").select("event_id", "user_id")
+    e = read(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    return e.join(e.where("event_type = 'signup' and value > 150").select("user_id").distinct(), "user_id", "left_anti").select("event_id", "user_id")
 
 
 @query("stale_probes", f"""
