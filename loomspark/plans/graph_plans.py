@@ -182,7 +182,12 @@ def vector_filtered_topk(spark, d):
     return rt.vector_topk(payload_filter(e, {"label": [1, 3, 5]}), q, 10, least=0.1).withColumn("score", F.round("score", 6)).select("query_id", "vec_id", "score", "rank")
 
 
-@query("int8_knn")
+@query("int8_knn", """
+WITH u AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n, embedding FROM embeddings),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN n > 0 THEN CAST(x AS DOUBLE) / n ELSE 0.0 END) AS e FROM u), s AS (SELECT vec_id, e, list_max(list_transform(e, lambda x: abs(x))) / 127 AS top FROM v),
+q AS MATERIALIZED (SELECT vec_id, scale, list_transform(e, lambda x: CAST(greatest(-127, least(127, floor(x / scale + 0.5))) AS DOUBLE)) AS q FROM (SELECT vec_id, e, CASE WHEN top > 0 THEN top ELSE 1.0 END AS scale FROM s)),
+p AS (SELECT b.vec_id AS query_id, a.vec_id, list_dot_product(a.q, b.q) * a.scale * b.scale AS score FROM q a JOIN q b ON b.vec_id % 50 = 0 AND len(a.q) = len(b.q))
+SELECT query_id, vec_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 10""")
 def int8_knn(spark, d):
     e = read(spark, d, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
