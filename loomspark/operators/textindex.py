@@ -2,16 +2,17 @@
 
 An index is a folder of Parquet tables that all executors share. Each commit adds a segment:
 
-* ``blocks`` (token, shard, docs, tfs, lengths, most_tf, least_length): the postings of a token in a shard of documents, partitioned
-  by the token's hash and sorted by token; the last two columns bound what any document of the block can score;
-* ``docs`` (doc, shard, length, tokens, tfs): the forward side, from which deletions and merges are computed;
+* ``docs`` (doc, shard, length, tokens, tfs): the forward side, from which blocks, deletions and merges are computed. A shard is a run of
+  the rows that a task writes, so that no row moves;
+* ``blocks`` (token, shard, docs, tfs, lengths, most_tf, least_length): the postings of a token in a shard of documents (in several rows, if
+  the shard was read in several pieces), sorted by token within the shard, made where the shard is read; the last two columns bound what any document of the block can score;
 * ``dead`` (seg, shard, doc): documents of older segments that this commit replaces or deletes;
 * ``terms`` (token, df): changes of document frequencies, so that statistics are exact after every commit.
 
 A commit counts once its row is in ``log``; what a failed one has left is never read. ``merge`` writes
 all live documents into one segment. One writer at a time is assumed.
 
-A search joins its tokens with the blocks that hold them, so only postings of wanted tokens move, as arrays; each
+A search sends its tokens to the blocks, so only postings of wanted tokens move, as arrays; each
 (segment, shard, block of queries) is scored in one task, and returns its own best. With many shards
 two rounds are made: each query's most promising shard gives a score that its ``k`` best can't fall
 below, and then only shards whose bound reaches that are scored. Results equal those of a full scan.
@@ -25,19 +26,22 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .checkpoints import cut, shared_folder
-from .retrieval import tiered, top_k
+from .retrieval import checked_broadcast, tiered, top_k
 
-#: Most postings and documents of a shard, postings of a partition by token, queries that are scored together, and tokens that are looked up by name.
-SHARD_POSTINGS, SHARD_DOCS, BUCKET_POSTINGS, TOGETHER, FEW_TOKENS = 1_000_000, 16_384, 4_000_000, 256, 200
+#: Most postings and documents of a shard (of postings one document more), queries that are scored together, and tokens that are looked up by name.
+SHARD_POSTINGS, SHARD_DOCS, TOGETHER, FEW_TOKENS = 1_000_000, 16_384, 256, 200
+#: Bytes of a row group of blocks (a few shards: their ids stay in Parquet's dictionaries), rows of a batch of blocks, and most keys of dead documents that go to every task.
+ROW_GROUP, BATCH_ROWS, DEAD_ROWS = 16 << 20, 4096, 1_000_000
 K1, B = 1.2, 0.75
 
-BAGS = "doc long, length int, tokens array<string>, tfs array<int>"
-BLOCKS = "token string, shard int, docs array<long>, tfs array<int>, lengths array<int>, most_tf int, least_length int"
-DOCS = "doc long, shard int, length int, tokens array<string>, tfs array<int>"
-LOG = "seg int, base boolean, shards int, buckets int, n_docs long, total_length long"
+BLOCKS = "token string, shard long, docs array<long>, tfs array<int>, lengths array<int>, most_tf int, least_length int"
+DOCS = "doc long, shard long, length int, tokens array<string>, tfs array<int>"
+LOG = "seg int, base boolean, shards int, n_docs long, total_length long"
+DEAD = "seg int, shard long, doc long"
 HIT = "query long, doc long, score double, n_tokens int"
 
 
@@ -47,16 +51,22 @@ def part_score(tf, length, mean: float):
 
 
 def _bags(batches):
-    """Distinct tokens of each row with their counts, in order of their first occurrence in the batch."""
+    """Distinct tokens of each row that has any, with their counts, in order of their first occurrence in the batch, and its shard: a run of this task's rows."""
+    base, n_docs, n_postings = TaskContext.get().partitionId() << 32, 0, 0
     for batch in batches:
+        batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch.column("tokens")), 0), 0))
         tokens = batch.column("tokens")
         length = np.asarray(pc.list_value_length(tokens)).astype(np.int64)
         coded = tokens.flatten().dictionary_encode()
         size = max(1, len(coded.dictionary))
         pairs, tf = np.unique(np.repeat(np.arange(len(length)), length) * size + np.asarray(coded.indices).astype(np.int64), return_counts=True)
-        ends = pa.array(np.searchsorted(pairs // size, np.arange(len(length) + 1)).astype(np.int32))
+        first = np.searchsorted(pairs // size, np.arange(len(length) + 1))
+        shard = base + (n_docs + np.arange(len(length))) // SHARD_DOCS + (n_postings + first[:-1]) // SHARD_POSTINGS
+        n_docs, n_postings = n_docs + len(length), n_postings + len(pairs)
+        ends = pa.array(first.astype(np.int32))
         words = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(pairs % size)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(length.astype(np.int32)), words, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], ["doc", "length", "tokens", "tfs"])
+        columns = [batch.column("doc"), pa.array(shard), pa.array(length.astype(np.int32)), words, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "shard", "length", "tokens", "tfs"])
 
 
 def _repeated() -> Column:
@@ -80,12 +90,28 @@ def _inverted(table: pa.Table) -> pa.Table:
     at, tfs = own[order], tfs[order]
     ends = pa.array(first.astype(np.int32))
     column = lambda values, t: pa.ListArray.from_arrays(ends, pa.array(values, t))
-    shard = pa.array(np.full(len(rank), table["shard"][0].as_py()), pa.int32())
+    shard = pa.array(np.full(len(rank), table["shard"][0].as_py()), pa.int64())
     most, least = (f.reduceat(x, first[:-1]) if len(rank) else x for f, x in ((np.maximum, tfs), (np.minimum, length[at])))
     columns = [coded.dictionary.take(pa.array(ascending)), shard, column(docs[at], pa.int64()), column(tfs, pa.int32()), column(length[at], pa.int32()), pa.array(most, pa.int32()), pa.array(least, pa.int32())]
     return pa.table(columns, names=["token", "shard", "docs", "tfs", "lengths", "most_tf", "least_length"])
 
 
+def _blocks_of(batches):
+    """Blocks of each run of rows of one shard."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = np.asarray(batch.column("shard"))
+        edges = np.flatnonzero(shard[1:] != shard[:-1]) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(shard)]):
+            if held and hi > lo and held[-1].column("shard")[0] != batch.column("shard")[lo]:
+                yield from _inverted(pa.Table.from_batches(held)).to_batches(BATCH_ROWS)
+                held = []
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from _inverted(pa.Table.from_batches(held)).to_batches(BATCH_ROWS)
+
+
 class TextIndex:
     """The index in ``folder``; :meth:`build` makes one."""
 
@@ -104,49 +130,46 @@ class TextIndex:
     def upsert(self, docs: DataFrame, doc: str, tokens: Column, shards: int | None = None) -> None:
         """Add documents; those that the index has already are replaced."""
         new = docs.select(F.col(doc).cast("long").alias("doc"), tokens.alias("tokens"))
-        self._commit(new, self._live().join(new.select("doc").distinct(), "doc", "left_semi"), shards)
+        self._commit(new, new.select("doc").distinct(), shards)
 
     def delete(self, ids: DataFrame, doc: str) -> None:
         gone = ids.select(F.col(doc).cast("long").alias("doc")).distinct()
-        self._commit(None, self._live().join(gone, "doc", "left_semi"), None)
+        self._commit(None, gone, None)
 
     def merge(self, shards: int | None = None) -> None:
         """All live documents as one segment; older ones are no longer read."""
         self._commit(self._live().select("doc", _repeated().alias("tokens")), None, shards)
 
-    def _commit(self, new: DataFrame | None, dead: DataFrame | None, shards: int | None) -> None:
-        """``dead`` None: a base, which stands for all before it."""
+    def _commit(self, new: DataFrame | None, gone: DataFrame | None, shards: int | None) -> None:
+        """``gone`` (doc): what stood in the index until now; None: a base, which stands for all before it. ``shards``: at least so many tasks."""
         seg = int(self.spark.read.schema(LOG).parquet(f"{self.folder}/log").agg(F.max("seg")).first()[0]) + 1 if self._exists("log") else 0
-        at, base = f"{self.folder}/seg={seg}", dead is None
-        n, total, n_shards, n_buckets, terms = 0, 0, 1, 1, []
-        if dead is not None:
+        at, base = f"{self.folder}/seg={seg}", gone is None
+        n, total, n_shards, terms = 0, 0, 0, []
+        if gone is not None:
+            log = self.log()
+            keys = checked_broadcast(cut(self._live("seg", "shard", "doc").join(gone, "doc", "left_semi").select("seg", "shard", "doc")), DEAD_ROWS)  # tokens needn't move to be found
+            dead = self._tables("docs", DOCS, log).join(keys, ["seg", "shard", "doc"], "left_semi")
             dead.select("seg", "shard", "doc", "length", "tokens").write.mode("overwrite").parquet(f"{at}/dead")
-            gone = self.spark.read.parquet(f"{at}/dead")
-            less = gone.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+            dead = self.spark.read.schema(f"{DEAD}, length int, tokens array<string>").parquet(f"{at}/dead")
+            less = dead.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
             n, total = -less[0], -less[1]
-            terms.append(gone.select(F.explode("tokens").alias("token")).groupBy("token").agg((-F.count("*")).alias("df")))
+            terms.append(dead.select(F.explode("tokens").alias("token")).groupBy("token").agg((-F.count("*")).alias("df")))
         if new is not None:
-            bags = f"{at}/bags"
-            new.where(F.col("doc").isNotNull() & (F.size("tokens") > 0)).mapInArrow(_bags, BAGS).write.mode("overwrite").parquet(bags)
-            forward = self.spark.read.schema(BAGS).parquet(bags)
-            rows, ids, length, postings = forward.agg(F.count("*"), F.count_distinct("doc"), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+            new = new.where("doc is not null")
+            if shards:
+                new = new.repartition(shards, "doc")
+            rows, ids = new.agg(F.count("*"), F.count_distinct("doc")).first()
             if ids < rows:  # an id stands in several rows: all their tokens count
-                words = F.flatten(F.collect_list(_repeated()))
-                forward = forward.groupBy("doc").agg(words.alias("tokens")).mapInArrow(_bags, BAGS)
-            n, total = n + ids, total + length
-            n_shards = shards or max(self.spark.sparkContext.defaultParallelism if base else 1, -(-postings // SHARD_POSTINGS), -(-ids // SHARD_DOCS))
-            n_buckets = max(1, -(-postings // BUCKET_POSTINGS))
-            forward = forward.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(n_shards)).cast("int")).select("doc", "shard", "length", "tokens", "tfs")
-            forward.write.mode("overwrite").parquet(f"{at}/docs")
+                new = new.groupBy("doc").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+            new.mapInArrow(_bags, DOCS).write.mode("overwrite").parquet(f"{at}/docs")  # rows without tokens go there: a filter would tokenise twice
             kept = self.spark.read.schema(DOCS).parquet(f"{at}/docs")
-            blocks = kept.groupBy("shard").applyInArrow(_inverted, BLOCKS).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(n_buckets)).cast("int"))
-            blocks = blocks.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "token")
-            blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/blocks")
-            self._delete(bags)
-            terms.append(self.spark.read.schema(f"{BLOCKS}, bucket int").parquet(f"{at}/blocks").groupBy("token").agg(F.sum(F.size("docs")).alias("df")))
+            more = kept.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.count_distinct("shard")).first()
+            n, total, n_shards = n + more[0], total + more[1], more[2]
+            kept.mapInArrow(_blocks_of, BLOCKS).write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{at}/blocks")
+            terms.append(self.spark.read.schema(BLOCKS).parquet(f"{at}/blocks").groupBy("token").agg(F.sum(F.size("docs")).alias("df")))
         changed = terms[0] if len(terms) == 1 else terms[0].unionByName(terms[1]).groupBy("token").agg(F.sum("df").alias("df"))
         changed.where("df <> 0").write.mode("overwrite").parquet(f"{at}/terms")
-        self.spark.createDataFrame([(seg, base, n_shards, n_buckets, n, total)], LOG).coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
+        self.spark.createDataFrame([(seg, base, n_shards, n, total)], LOG).coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
 
     # ---------------------------------------------------------------- reading
 
@@ -158,10 +181,6 @@ class TextIndex:
         files, path = self._at(f"{self.folder}/{name}")
         return files.exists(path)
 
-    def _delete(self, folder: str) -> None:
-        files, path = self._at(folder)
-        files.delete(path, True)
-
     def log(self) -> list:
         """Rows of the commits that are read: from the last base on (one row a commit)."""
         rows = self.spark.read.schema(LOG).parquet(f"{self.folder}/log").orderBy("seg").collect()
@@ -178,11 +197,13 @@ class TextIndex:
 
     def _dead(self, log: list) -> DataFrame:
         found = [f"{self.folder}/seg={r['seg']}/dead" for r in log if not r["base"]]
-        return self.spark.read.schema("seg int, shard int, doc long").parquet(*found) if found else self.spark.createDataFrame([], "seg int, shard int, doc long")
+        return self.spark.read.schema(DEAD).parquet(*found) if found else self.spark.createDataFrame([], DEAD)
 
-    def _live(self) -> DataFrame:
+    def _live(self, *columns: str) -> DataFrame:
+        """Rows (or some columns) of live documents."""
         log = self.log()
-        return self._tables("docs", DOCS, log).join(self._dead(log), ["seg", "shard", "doc"], "left_anti")
+        rows = self._tables("docs", DOCS, log).select(*(columns or "*"))
+        return rows if len(log) == 1 else rows.join(checked_broadcast(self._dead(log), DEAD_ROWS), ["seg", "shard", "doc"], "left_anti")
 
     def documents(self) -> DataFrame:
         """(doc, length) of live documents."""
@@ -204,15 +225,14 @@ class TextIndex:
         return changes if len(log) == 1 else changes.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
 
     def _blocks(self, log: list, tokens: list[str] | None) -> DataFrame:
-        """Blocks of all segments; of a few known tokens, only the partitions and row groups that may hold them."""
-        schema, out = f"{BLOCKS}, bucket int", None
+        """Blocks of all segments; of a few known tokens, only the pages that may hold them."""
+        out = None
         for r in (r for r in log if self._exists(f"seg={r['seg']}/blocks")):
-            df = self.spark.read.schema(schema).parquet(f"{self.folder}/seg={r['seg']}/blocks").withColumn("seg", F.lit(r["seg"]))
+            df = self.spark.read.schema(BLOCKS).parquet(f"{self.folder}/seg={r['seg']}/blocks").withColumn("seg", F.lit(r["seg"]))
             if tokens is not None:
-                hashed = self.spark.range(1).select(F.array(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(r["buckets"])).cast("int") for t in tokens))).first()[0] if r["buckets"] > 1 else [0]
-                df = df.where(F.col("bucket").isin(sorted(set(hashed))) & F.col("token").isin(tokens))
+                df = df.where(F.col("token").isin(tokens))
             out = df if out is None else out.unionByName(df)
-        return (out if out is not None else self.spark.createDataFrame([], f"{schema}, seg int")).drop("bucket")
+        return out if out is not None else self.spark.createDataFrame([], f"{BLOCKS}, seg int")
 
     # ---------------------------------------------------------------- search
 
@@ -230,18 +250,20 @@ class TextIndex:
         blocks = max(1, -(-wanted.agg(F.count_distinct("query")).first()[0] // TOGETHER))
         few = [r["token"] for r in wanted.select("token").distinct().limit(FEW_TOKENS + 1).collect()]
         postings = self._blocks(log, few if len(few) <= FEW_TOKENS else None)
+        if len(few) > FEW_TOKENS:
+            postings = postings.join(checked_broadcast(wanted.select("token").distinct()), "token", "left_semi")
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         block = F.pmod(F.xxhash64("query"), F.lit(blocks))
-        weighted = wanted.join(self.terms(), "token").select("query", "token", "n_wanted", idf.alias("idf"), block.cast("int").alias("block"))
+        terms = self.terms().join(checked_broadcast(wanted.select("token").distinct()), "token", "left_semi")
+        weighted = cut(wanted.join(terms, "token").select("query", "token", "n_wanted", idf.alias("idf"), block.cast("int").alias("block")))
         hidden = self._hidden(log, scope)
         settings = {"k": k, "by": tuple(by), "every_token": every_token, "mean": mean, "digits": digits}
         if every_token or sum(r["shards"] for r in log) < prune_from:
             return self._scored(postings, weighted, [], hidden, blocks, settings).withColumnRenamed("query", query)
 
-        weighted = cut(weighted)
         heads = postings.select("token", "seg", "shard", "most_tf", "least_length")
         adds = F.col("idf") * part_score(F.col("most_tf"), F.col("least_length"), mean)
-        bound = cut(weighted.join(heads, "token").groupBy("query", "seg", "shard").agg(F.sum(adds).alias("most"), F.count("*").alias("most_tokens")))
+        bound = cut(heads.join(checked_broadcast(weighted), "token").groupBy("query", "seg", "shard").agg(F.sum(adds).alias("most"), F.count("*").alias("most_tokens")))
         home = cut(top_k(bound, "query", [F.desc("most"), F.col("seg"), F.col("shard")], 1).select("query", "seg", "shard"))
         first = cut(self._scored(postings, weighted.join(home, "query"), ["seg", "shard"], hidden, blocks, settings))
         reached = F.lit(False)
@@ -265,6 +287,7 @@ class TextIndex:
     def _scored(self, postings: DataFrame, weighted: DataFrame, where: list[str], hidden: DataFrame | None, blocks: int, settings: dict) -> DataFrame:
         """Hits of each (segment, shard, block of queries): one task has the wanted postings of a shard and at most about TOGETHER queries."""
         asked = weighted.groupBy("token", "block", *where).agg(F.first("idf").alias("idf"), F.collect_list("query").alias("queries"), F.collect_list("n_wanted").alias("needs"))
+        asked = checked_broadcast(cut(asked))
         rows = postings.join(asked, ["token", *where]).select("seg", "shard", "block", "docs", "tfs", "lengths", "idf", "queries", "needs")
         key = ["seg", "shard", "block"]
         if hidden is None:

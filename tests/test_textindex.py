@@ -141,3 +141,29 @@ def test_recall_falls_back_to_relaxed_tokens(spark):
     scope = spark.createDataFrame([(4,)], "doc_id long")
     assert [(r.query_id, r.doc) for r in recall(index, tiers, 10, scope=scope).collect()] == [(3, 4)]
     assert recall(index, tiers, 10, scope=scope.limit(0)).count() == 0
+
+
+def shuffled(spark):
+    """Bytes that all stages until now have written for others."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_postings_do_not_move_when_documents_are_indexed(spark):
+    """Only counts by token are shuffled by a build, and only ids by an upsert, however many documents there are."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("word"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(50)).cast("string")) for i in range(30))).alias("text"))
+    before = shuffled(spark)
+    index = TextIndex.build(rows, "doc_id", tokens())
+    assert index.stats()[0] == 20_000 and index.terms().count() == 50
+    built = shuffled(spark)
+    assert built - before < 800_000  # the ids, to see that none is there twice; the postings are some 460 000
+    index.upsert(rows.where("doc_id % 4 = 0").withColumn("text", F.lit("new")), "doc_id", tokens())
+    assert shuffled(spark) - built < 800_000
+    assert {r.token: r.df for r in index.terms().collect()}["new"] == 5000
+
+
+def test_an_id_in_several_rows_counts_once(spark):
+    rows = spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "a"), (3, ""), (3, None), (None, "a")], "doc_id long, text string")
+    index = TextIndex.build(rows, "doc_id", tokens())
+    assert sorted((r.token, r.df) for r in index.terms().collect()) == [("a", 2), ("b", 1), ("c", 1)] and index.stats() == (2, 2.5)
