@@ -209,6 +209,18 @@ INTENT = ask.Intent(["small ring"], ["ECONOMY"], ["STATUS"])
 GRAPHS: dict[tuple, ask.Graph] = {}
 
 
+CHUNKS: dict[tuple, ask.Graph] = {}
+
+
+def chunk_graph(spark, d):
+    """The documents of :func:`knowledge` alone, for questions that read nothing else; their index is the same one."""
+    docs = read(spark, d, "documents")
+    key = (spark.sparkContext.applicationId, *state(docs))
+    if key not in CHUNKS:
+        CHUNKS[key] = ask.Graph(docs.select(F.col("doc_id").alias("chunk"), "text"), *[None] * 4)
+    return CHUNKS[key]
+
+
 def knowledge(spark, d):
     """Documents as chunks, parts as entities, orders as facts about their parts; a document mentions the part of its number."""
     docs, li = read(spark, d, "documents"), read(spark, d, "lineitem")
@@ -216,11 +228,13 @@ def knowledge(spark, d):
     if key not in GRAPHS:
         part = read(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name"), F.col("p_type").alias("entity_type"), F.col("p_size").alias("mentions"))
         facts = li.groupBy(F.col("l_orderkey").alias("fact")).agg(F.max(1 - F.col("l_discount")).alias("confidence"), F.min("l_partkey").alias("chunk"))
-        facts = facts.select("fact", F.format_string("order %d about the shipment", "fact").alias("text"), F.lit("STATUS").alias("fact_type"), "confidence", "chunk")
+        facts = checkpoints.cut(facts).select("fact", F.format_string("order %d about the shipment", "fact").alias("text"), F.lit("STATUS").alias("fact_type"), "confidence", "chunk")
         mentions = docs.select(F.col("doc_id").alias("chunk")).join(part.select("entity"), F.col("chunk") == F.col("entity")).select("entity", "chunk")
         about = li.select(F.col("l_orderkey").alias("fact"), F.col("l_partkey").alias("entity")).distinct()
-        ranks = about.groupBy("entity").agg(F.count("*").alias("n")).crossJoin(F.broadcast(about.agg(F.count("*").alias("all")))).select("entity", (F.col("n") / F.col("all")).alias("rank"))  # one row
-        GRAPHS[key] = ask.Graph(docs.select(F.col("doc_id").alias("chunk"), "text"), part, facts, mentions, about, checkpoints.cut(ranks))
+        counts = checkpoints.cut(about.groupBy("entity").agg(F.count("*").alias("n")))
+        ranks = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("entity", (F.col("n") / F.col("all")).alias("rank"))  # one row
+        chunks = chunk_graph(spark, d)
+        GRAPHS[key] = ask.Graph(chunks.chunks, part, facts, mentions, about, ranks, chunks.indexes)
     return GRAPHS[key]
 
 
@@ -256,7 +270,7 @@ sc AS (SELECT doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf *
 SELECT CAST(doc_id AS VARCHAR) AS item, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 20""")
 def ask_chunks(spark, d):
     """The lexical list of a question over whole documents, words and Han text alike (R2)."""
-    return ask.lexical_list(knowledge(spark, d), QUESTION, "chunk", 20).select("item", "rank")
+    return ask.lexical_list(chunk_graph(spark, d), QUESTION, "chunk", 20).select("item", "rank")
 
 
 @query("global_points", """

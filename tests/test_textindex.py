@@ -167,3 +167,9 @@ def test_an_id_in_several_rows_counts_once(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "a"), (3, ""), (3, None), (None, "a")], "doc_id long, text string")
     index = TextIndex.build(rows, "doc_id", tokens())
     assert sorted((r.token, r.df) for r in index.terms().collect()) == [("a", 2), ("b", 1), ("c", 1)] and index.stats() == (2, 2.5)
+
+
+def test_tokens_of_plain_texts_equal_those_of_runs(spark):
+    texts = ["Ab_c c++ x.y, É a1", "\u0130x \u212a9 K", "项目 Mix项a", "", None, "tab\tNEW\nline #tag -"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(tx.tokenize("text")).collect()]
+    assert got == [["ab_c", "c++", "x.y", "a1"], ["x", "9", "k"], ["项", "项目", "目", "mix", "项", "a"], [], [], ["tab", "new", "line", "#tag", "-"]]
