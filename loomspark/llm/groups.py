@@ -55,8 +55,9 @@ def _linked(link: Link):
 
 def _within_groups(packed: DataFrame, link: Link) -> DataFrame:
     """(a, b): each class and the smallest one it is linked to among those of its chunk. A task walks through its groups
-    in their order, so many small ones cost little."""
-    return packed.repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(_linked(link), PAIRS)
+    in their order, so many small ones cost little. As many tasks as are set: few bytes may be much work."""
+    tasks = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(tasks, "grp", "part").sortWithinPartitions("grp", "part").mapInArrow(_linked(link), PAIRS)
 
 
 def dealt(groups: DataFrame, cut: Scratch) -> tuple[DataFrame, DataFrame]:

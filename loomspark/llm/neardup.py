@@ -9,9 +9,11 @@ of each shared node with a chance of 0.96, and a leaf of a tree of any depth wit
 five), whatever the other documents are. Nodes of at most ``leaf`` classes are leaves: their
 classes are compared exhaustively by their signatures; the pairs that may be similar
 (at least 56 % of the coordinates agree, which a pair of 0.8 misses with a chance of
-1e-6) give the edges of a spanning forest of the node. Nodes still larger at the last of
-``levels`` levels hold groups of near copies, which no further level would part (it would
-only multiply them); their classes are tied to the smallest one and compared below.
+1e-6) give the edges of a spanning forest of the node. From level
+``levels`` on, nodes of up to WIDE classes are compared exhaustively too: they hold groups of near
+copies, which no further level would part (it would only multiply them), and texts that happen to
+share a few frequent tokens, which must not be tied to each other. Only nodes over WIDE
+go DEEPER; what is still larger then is tied to its smallest class and compared below.
 
 Connected components of these edges are the candidate groups. In each group the full
 sets are compared, and only pairs with ``100 * common >= percent * union`` are linked: a
@@ -37,6 +39,10 @@ from .groups import PACKED, dealt, link_groups
 
 COORDINATES = 64
 AGREE = 36
+#: A class that agrees so well with one that was compared to all others needn't be: what it may be similar to is tied to that one, by a bound so much lower.
+CLOSE = 56
+#: Classes of a node that are compared in one task (4 MB of signatures), and levels that larger nodes go on.
+WIDE, DEEPER = 1 << 14, 3
 #: Words of 64 bits in the bitmap of wanted documents: the bound of its broadcast (some 10 MB), whatever the input.
 WORDS_OF_BITS = 1 << 18
 _A = np.random.default_rng(6).integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -92,21 +98,38 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, cls binary, sig array<int>")
 
 
+def near_forest(m: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges between rows of signatures whose components hold every pair that agrees in AGREE coordinates."""
+    a, b = [], []
+    root, at = np.arange(len(m)), np.arange(len(m))
+    while len(at) > 1:
+        i, at, first, m = at[0], at[1:], m[0], m[1:]
+        agree = (m == first).sum(axis=1)
+        close = agree >= CLOSE
+        near = at[agree >= (AGREE - (COORDINATES - CLOSE) if close.any() else AGREE)]
+        found, where = np.unique(root[near], return_index=True)
+        new = found != root[i]
+        if new.any():
+            a += [int(i)] * int(new.sum())
+            b += near[where[new]].tolist()
+            found = np.r_[found[new], root[i]]
+            root[np.isin(root, found)] = found.min()
+        if close.any():
+            at, m = at[~close], m[~close]
+    return a, b
+
+
 def _leaf_edges(batches):
     """Edges of a spanning forest of each leaf's classes that may be similar."""
     for batch in batches:
         a, b = [], []
-        for names, sigs in zip(batch.column("names").to_pylist(), batch.column("sigs").to_pylist(), strict=True):
+        sigs = batch.column("sigs")
+        for row, names in enumerate(batch.column("names").to_pylist()):
+            m = np.asarray(sigs[row].values.flatten()).reshape(len(names), COORDINATES)
             order = sorted(range(len(names)), key=names.__getitem__)
-            m = np.array([sigs[i] for i in order], np.int32)
-            root = np.arange(len(order))
-            for i in range(1, len(order)):
-                near = np.flatnonzero((m[:i] == m[i]).sum(axis=1) >= AGREE)
-                for j in near.tolist():
-                    if root[i] != root[j]:
-                        a.append(names[order[i]])
-                        b.append(names[order[j]])
-                        root[root == max(root[i], root[j])] = min(root[i], root[j])
+            for i, j in zip(*near_forest(m[order]), strict=True):
+                a.append(names[order[j]])
+                b.append(names[order[i]])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
@@ -121,18 +144,19 @@ def candidate_edges(classes: DataFrame, trees: int, leaf: int, levels: int, cut:
 
     nodes = classes.select("cls", "sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("path"))
     edges = None
-    for level in range(1, levels + 1):
+    for level in range(1, levels + DEEPER + 1):
+        most = leaf if level < levels else max(leaf, WIDE)
         children = step(nodes)
         held = cut(children.groupBy("path").agg(F.count("*").alias("n"), F.min("cls").alias("least")).where("n > 1"))
-        small = children.join(held.where(F.col("n") <= leaf).select("path"), "path").join(classes, "cls")
-        grouped = small.groupBy("path").agg(F.collect_list("cls").alias("names"), F.collect_list("sig").alias("sigs")).select("names", "sigs")  # at most ``leaf`` of each
+        small = children.join(held.where(F.col("n") <= most).select("path"), "path").join(classes, "cls")
+        grouped = small.groupBy("path").agg(F.collect_list("cls").alias("names"), F.collect_list("sig").alias("sigs")).select("names", "sigs")  # at most ``most`` of each
         found = grouped.mapInArrow(_leaf_edges, "a binary, b binary")
         edges = found if edges is None else edges.unionByName(found)
-        large = held.where(F.col("n") > leaf).select("path", "least")
+        large = held.where(F.col("n") > most).select("path", "least")
         if large.isEmpty():
             return edges
         nodes = children.join(large, "path")
-        if level == levels:
+        if level == levels + DEEPER:
             return edges.unionByName(nodes.where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")))
         nodes = cut(nodes.join(classes, "cls").select("cls", "sig", "path"))
     return edges
@@ -140,7 +164,7 @@ def candidate_edges(classes: DataFrame, trees: int, leaf: int, levels: int, cut:
 
 class Linker:
     """Exact components of sets met one after the other. Sets that may be linked share a
-    token of their prefixes (the smallest tokens, as many as the threshold lets differ, and
+    token of their prefixes (the first tokens in an order of all, as many as the threshold lets differ, and
     one), so only components with such a set are looked at."""
 
     def __init__(self, percent: int):
@@ -204,8 +228,13 @@ def _pack_sets(size: int):
 def _link_sets(percent: int):
     def link(items: list[bytes]) -> list[int]:
         linker = Linker(percent)
-        for x in items:
-            linker.add(np.frombuffer(x, np.uint64).tolist())
+        first = np.cumsum([0, *(len(x) // 8 for x in items)])
+        _, token, count = np.unique(np.frombuffer(b"".join(items), np.uint64), return_inverse=True, return_counts=True)
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count))  # the rarest first, so that few prefixes meet
+        token = rank[token]
+        for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            linker.add(np.sort(token[i:j]).tolist())
         return linker.root
 
     return link

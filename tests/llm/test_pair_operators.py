@@ -118,6 +118,34 @@ def test_large_groups_of_near_copies(frame, monkeypatch):
     assert sorted(got) == sorted(near_brute(docs, 2, 80))
 
 
+def test_wide_nodes_tie_only_what_may_be_similar(spark, monkeypatch):
+    """Classes that share a few frequent tokens stand in one node at the last level, but not in one candidate group; near copies do."""
+    monkeypatch.setattr(neardup, "DEEPER", 0, raising=False)
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 2**31, (80, neardup.COORDINATES))
+    sig[:, ::2] = 7  # half of the coordinates agree: under AGREE
+    for i in range(60, 80):
+        sig[i] = sig[60]
+        sig[i, rng.integers(0, 64, 6)] = rng.integers(0, 2**31, 6)
+    classes = spark.createDataFrame([(b"%03d" % i, [int(x) for x in row]) for i, row in enumerate(sig)], "cls binary, sig array<int>").cache()
+    with neardup.Scratch(spark) as cut:
+        edges = neardup.candidate_edges(classes, 5, 8, 2, cut).collect()
+    root = union_find(80, {(int(a), int(b)) for a, b in edges})
+    assert len(set(root[60:])) == 1
+    assert max(root.count(r) for r in set(root)) == 20
+
+
+def test_near_forest_holds_every_pair():
+    rng = np.random.default_rng(8)
+    m = rng.integers(0, 2**31, (6, 64))[rng.integers(0, 6, 150)]
+    for i in range(len(m)):
+        k = rng.integers(0, 40)
+        m[i, rng.permutation(64)[:k]] = rng.integers(0, 2**31, k)
+    root = union_find(len(m), list(zip(*neardup.near_forest(m), strict=True)))
+    agree = (m[:, None] == m[None]).sum(axis=2)
+    assert all(root[i] == root[j] for i, j in zip(*np.nonzero(agree >= neardup.AGREE), strict=True))
+
+
 def test_linker_is_exact():
     rng = random.Random(4)
     base = [sorted(rng.sample(range(400), 40)) for _ in range(4)]
